@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fold, table
+from .langid import identify_languages
+from .lm import score_documents
 from .mixing import mix_documents
 from .packing import pack_documents
+from .quality import score_quality
+from .rules import apply_rules
 from .secrets import scan_secrets, spans_text
 
 
@@ -42,6 +46,30 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id")) == 1
+    scored = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return scored.withColumn("held_out", held_out)
+
+
+def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id")) == 0
+    score = F.col("quality_score")
+    scored = score_quality(docs, labels, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id")) == 0
+    found = identify_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.to_json("languages").alias("languages"))
+
+
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -80,7 +108,11 @@ LEFT JOIN taken ON taken.source IS NOT DISTINCT FROM d.source AND taken.h = d.h
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
+    "op4_ppm_scoring": op4_ppm_scoring,
+    "op5_quality_knn": op5_quality_knn,
     "op7_source_mixing": op7_source_mixing,
+    "op8_language_mixture": op8_language_mixture,
+    "op9_line_rules": op9_line_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_source_mixing": OP7_SQL}

@@ -49,8 +49,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(column: pa.Array | pa.ChunkedArray, limit: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of rows of about ``limit`` bytes; a longer row comes alone.
+def slices(column: pa.Array | pa.ChunkedArray, limit: int = 2 << 20, most_rows: int = 1 << 16) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of rows of at most ``limit`` bytes; a longer row comes alone.
 
     Null is the empty text. Offsets start at 0 and have one more entry than the run has rows.
     """
@@ -64,10 +64,19 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = 2 << 20) -> Iterator
     row = 0
     while row < len(column):
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
+        last = min(last, row + most_rows)
         yield row, data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row]
         row = last
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: np.ndarray = BYTE_BITS) -> np.ndarray:
+    """A hash of the bytes of each span; the same bytes hash alike wherever they stand."""
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(bits[buf] * _power("base", _BASE, len(buf)), out=sums[1:])
+    inverse = _power("inverse", _INVERSE, len(buf) + 1)
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def words(buf: np.ndarray, offs: np.ndarray, fold_case: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end, hash) of every word, in order."""
     n = len(buf)
@@ -87,9 +96,7 @@ def words(buf: np.ndarray, offs: np.ndarray, fold_case: bool) -> tuple[np.ndarra
     np.logical_not(inside[1:], out=after[:-1])
     after |= edge[1:]
     ends = np.flatnonzero(inside & after) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((FOLDED_BITS if fold_case else BYTE_BITS)[buf] * _power("base", _BASE, n), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _power("inverse", _INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
+    hashes = span_hashes(buf, starts, ends, FOLDED_BITS if fold_case else BYTE_BITS)
     rows = np.searchsorted(offs, starts, "right") - 1
     return rows, starts, ends, hashes
 
@@ -133,3 +140,46 @@ def distinct_sorted(rows: np.ndarray, values: np.ndarray, n_rows: int) -> tuple[
 
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+class Lookup:
+    """64-bit keys to values, by two hashed tables; what fits in neither is left to the caller."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.tables = []
+        for turn in range(2):
+            bits = max(8, int(4 * len(keys)).bit_length())
+            slot = self._slot(keys, turn, bits)
+            table_keys = np.full(1 << bits, ~np.uint64(0))
+            table_values = np.zeros(1 << bits, values.dtype)
+            table_keys[slot] = keys
+            placed = table_keys[slot] == keys
+            table_values[slot[placed]] = values[placed]
+            self.tables.append((bits, table_keys, table_values))
+            keys, values = keys[~placed], values[~placed]
+
+    @staticmethod
+    def _slot(keys: np.ndarray, turn: int, bits: int) -> np.ndarray:
+        return (keys * WORD_MULTIPLIERS[8 + turn]) >> np.uint64(64 - bits)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, found)"""
+        bits, table_keys, table_values = self.tables[0]
+        slot = self._slot(keys, 0, bits)
+        found = table_keys[slot] == keys
+        values = table_values[slot]
+        missing = np.flatnonzero(~found)
+        if len(missing):
+            bits, table_keys, table_values = self.tables[1]
+            slot = self._slot(keys[missing], 1, bits)
+            ok = table_keys[slot] == keys[missing]
+            found[missing[ok]] = True
+            values[missing[ok]] = table_values[slot[ok]]
+        return values, found
+
+
+def per_row(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """How many of the flagged bytes each row has."""
+    sums = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=sums[1:])
+    return sums[offs[1:]] - sums[offs[:-1]]
