@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, table
+from .jaccard import jaccard_components
 from .langid import identify_languages
 from .lm import score_documents
 from .mixing import mix_documents
@@ -70,6 +71,11 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -105,6 +111,26 @@ FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
 LEFT JOIN taken ON taken.source IS NOT DISTINCT FROM d.source AND taken.h = d.h
 """
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 2], ' ') END AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), linked AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM w
+  UNION SELECT r.doc_id, l.v FROM reach r JOIN linked l ON l.u = r.other
+)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(reach.other) AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN reach ON reach.doc_id = w.doc_id GROUP BY w.doc_id, n.n
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
@@ -113,6 +139,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_source_mixing": op7_source_mixing,
     "op8_language_mixture": op8_language_mixture,
     "op9_line_rules": op9_line_rules,
+    "op10_jaccard_components": op10_jaccard_components,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_source_mixing": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op7_source_mixing": OP7_SQL,
+    "op10_jaccard_components": OP10_SQL,
+}
