@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, table
+from .covertree import nearest
 from .jaccard import jaccard_components
 from .langid import identify_languages
 from .lm import score_documents
@@ -16,12 +17,17 @@ from .packing import pack_documents
 from .quality import score_quality
 from .rules import apply_rules
 from .secrets import scan_secrets, spans_text
+from .suffix import remove_repeats
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_dual_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base, spans = F.col("secret_base"), F.col("secret_spans")
@@ -76,6 +82,46 @@ def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+OP6_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents
+), w AS (
+  SELECT doc_id, p, sha256(t[p:p + 99]) AS h FROM (SELECT doc_id, t, unnest(range(1, octet_length(t) - 98)) AS p FROM b WHERE octet_length(t) >= 100)
+), later AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM w) WHERE k > 1
+), gaps AS (
+  SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS step FROM later
+), runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 99 AS z FROM (
+    SELECT doc_id, p, sum(CASE WHEN step <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM gaps) GROUP BY doc_id, g
+), cuts AS (
+  SELECT doc_id, z + 1 AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a) - 1, 1000000000000) AS z FROM runs
+  UNION ALL SELECT doc_id, 1, min(a) - 1 FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(hex(t[a:z]), '' ORDER BY a) AS x FROM cuts JOIN b USING (doc_id) WHERE a <= z AND a <= octet_length(t) GROUP BY doc_id
+), sums AS (SELECT doc_id, sum(z - a + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT b.doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  CASE WHEN n_removed IS NULL THEN sha256(t) ELSE sha256(unhex(coalesce(x, ''))) END AS kept_sha256
+FROM b LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -133,9 +179,11 @@ FROM w LEFT JOIN n USING (doc_id) JOIN reach ON reach.doc_id = w.doc_id GROUP BY
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_dual_cover_tree": op2_dual_cover_tree,
     "op3_secret_scan": op3_secret_scan,
     "op4_ppm_scoring": op4_ppm_scoring,
     "op5_quality_knn": op5_quality_knn,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op8_language_mixture": op8_language_mixture,
     "op9_line_rules": op9_line_rules,
@@ -143,6 +191,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_dual_cover_tree": OP2_SQL,
+    "op6_suffix_dedup": OP6_SQL,
     "op7_source_mixing": OP7_SQL,
     "op10_jaccard_components": OP10_SQL,
 }

@@ -49,7 +49,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(column: pa.Array | pa.ChunkedArray, limit: int = 2 << 20, most_rows: int = 1 << 16) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20, most_rows: int = 1 << 16) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows of at most ``limit`` bytes; a longer row comes alone.
 
     Null is the empty text. Offsets start at 0 and have one more entry than the run has rows.
