@@ -1,4 +1,4 @@
 """Named queries over the test tables, each with SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import candidates, derive, hints, index, maintenance, search, stats  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
