@@ -26,6 +26,9 @@ from .lm import _least_count
 from .textkernel import distinct_sorted, list_array, mix, shingles, slices, words
 
 FRAGMENTS = 8
+#: Bits of a set's sketch: each shingle turns over one bit. Sketches differ in no more bits than the
+#: sets differ in shingles, which rules most pairs out before their segments are counted.
+SKETCH = 1024
 
 
 def _sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +69,7 @@ def _signatures(shared, k: int, num: int, den: int):
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         for batch in batches:
-            for first, buf, offs in slices(batch.column("text")):
+            for first, buf, offs in slices(batch.column("text"), most_rows=2048):
                 values, bounds = _sets(buf, offs, k)
                 n_rows, n = len(offs) - 1, np.diff(bounds)
                 row = np.repeat(np.arange(n_rows), n)
@@ -79,6 +82,9 @@ def _signatures(shared, k: int, num: int, den: int):
                 for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
                     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values ^ np.uint64(salt)), dtype=np.uint64)))
                     digest.append((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64))
+                turned = (mix(values ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(SKETCH)).astype(np.int64)
+                odd = np.bincount(row * SKETCH + turned, minlength=n_rows * SKETCH).astype(np.uint8) & 1
+                sketch = np.packbits(odd).view(np.int64)
                 part = batch.slice(first, n_rows)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -88,8 +94,9 @@ def _signatures(shared, k: int, num: int, den: int):
                         pa.array(np.bincount(row[~often], minlength=n_rows).astype(np.int64)),
                         *map(pa.array, digest),
                         list_array(values[order][kept].view(np.int64), np.concatenate(([0], np.cumsum(length))), pa.int64()),
+                        list_array(sketch, np.arange(n_rows + 1) * (SKETCH // 64), pa.int64()),
                     ],
-                    ["row_id", "doc_id", "n", "rare", "d1", "d2", "prefix"],
+                    ["row_id", "doc_id", "n", "rare", "d1", "d2", "prefix", "sketch"],
                 )
 
     return signatures
@@ -121,7 +128,7 @@ def _segments(shared, k: int):
 
 
 def _count_overlaps(pairs: DataFrame, classes: DataFrame, numbered: DataFrame, shared, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that are links."""
+    """The pairs (a, b, na, nb) that are links; the sketches have been asked already."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     ids = materialize(ids.join(classes.select("cid", "row_id"), "cid"), "jaccard-needed")
     text = numbered.join(broadcast_if_small(ids), "row_id").select("cid", "text")
@@ -162,17 +169,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """
     numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
-    schema = "row_id long, doc_id long, n long, rare long, d1 long, d2 long, prefix array<long>"
+    schema = "row_id long, doc_id long, n long, rare long, d1 long, d2 long, prefix array<long>, sketch array<long>"
     signed = materialize(numbered.mapInArrow(_signatures(shared, k, num, den), schema), "jaccard-signatures")
     classes = signed.filter("n > 0").groupBy("n", "rare", "d1", "d2").agg(F.min("doc_id").alias("least"), F.min("row_id").alias("row_id"))
-    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
+    # numbered by how few rare shingles they have: the smallest number of a bucket is its most central class
+    classes = materialize(classes.orderBy("rare").withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
+    numbers = classes.select("cid", F.col("n").cast("int").alias("n"), "row_id")
+    sketches = materialize(signed.select("row_id", "sketch").join(numbers, "row_id").select("cid", "sketch"), "jaccard-sketches")
 
     # prefix buckets with two classes or more; pos is the place of the bucket's shingle in the set
-    prefixes = signed.select("row_id", "prefix").join(classes.select("cid", "n", "rare", "row_id"), "row_id")
-    entries = prefixes.select("cid", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
-    pivots = entries.groupBy("token").agg(F.min(F.struct("rare", "n", "cid")).alias("p"), F.max("cid").alias("most"), F.min("cid").alias("least"))
-    pivots = pivots.filter("most <> least").select("token", F.col("p.cid").alias("pivot"))
-    buckets = materialize(entries.join(pivots, "token"), "jaccard-buckets").drop("rare")
+    prefixes = signed.select("row_id", "prefix").join(numbers, "row_id")
+    entries = prefixes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
+    pivots = entries.groupBy("token").agg(F.min("cid").alias("pivot"), F.count("*").alias("classes")).filter("classes > 1")
+    buckets = materialize(entries.join(pivots.drop("classes"), "token"), "jaccard-buckets")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sketches differ in no more bits than linked sets may differ in shingles."""
+        for side in "ab":
+            pairs = pairs.join(sketches.select(F.col("cid").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+        bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        may_differ = F.floor((F.col("na") + F.col("nb")) * F.lit(den - num) / F.lit(den + num) + F.lit(1e-9))
+        return pairs.filter(bits <= may_differ).select("a", "b", "na", "nb")
 
     def ordered(candidates: DataFrame) -> DataFrame:
         return candidates.select(
@@ -187,7 +204,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     rest = buckets.filter("cid <> pivot")
     either = rest.alias("x").join(centre.alias("y"), "token").filter(longer & _possible(num, den))
     other = centre.alias("x").join(rest.alias("y"), "token").filter(longer & _possible(num, den))
-    stars = materialize(ordered(either).unionByName(ordered(other)).distinct(), "jaccard-stars")
+    stars = materialize(similar(ordered(either).unionByName(ordered(other)).distinct()), "jaccard-stars")
     links = materialize(_count_overlaps(stars, classes, numbered, shared, k, num, den), "jaccard-star-links")
     roots = materialize(connected_components(links), "jaccard-roots")
 
@@ -204,14 +221,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         ordered(left.alias("x").join(right.alias("y"), "token").filter(apart & longer & _possible(num, den)))
         for left, right in ((outside, outside), (outside, inside), (inside, outside))
     ]
-    pairs = materialize(found[0].unionByName(found[1]).unionByName(found[2]).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
+    pairs = found[0].unionByName(found[1]).unionByName(found[2]).distinct()
+    pairs = materialize(similar(pairs).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
     more = _count_overlaps(pairs, classes, numbered, shared, k, num, den)
     everything = materialize(links.unionByName(more), "jaccard-links")
     roots = connected_components(everything).withColumnRenamed("node", "cid")
     roots = materialize(classes.select("cid", "least").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "jaccard-components")
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     component = roots.join(ids, "root").join(classes.select("cid", "n", "d1", "d2"), "cid").select("n", "d1", "d2", "component_id")
-    joined = signed.drop("prefix").join(component, ["n", "d1", "d2"], "left")
+    joined = signed.drop("prefix", "sketch").join(component, ["n", "d1", "d2"], "left")
     return joined.select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
