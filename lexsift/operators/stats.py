@@ -23,7 +23,7 @@ def trial_stats(trials: DataFrame, by: tuple[str, ...], value: str = "time_ms")
         *by,
         n.cast("long").alias("n"),
         _element(F.col("v"), F.lit(1)).alias("least"),
-        (low + F.floor((high - low) / 2)).cast("long").alias("median"),
+        (low + F.shiftright(high - low, 1)).cast("long").alias("median"),
         _element(F.col("v"), F.ceil(n * 0.95)).alias("p95"),
         _element(F.col("v"), n).alias("greatest"),
         F.round("mean", 6).alias("mean"),

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..operators.index import indexable
 
 
-def read_files(spark: SparkSession, *paths: str, recursive: bool = True, hidden: bool = False) -> DataFrame:
+def read_files(spark: SparkSession, *paths: str, recursive: bool = True) -> DataFrame:
     """(path, byte_length, modified, content, text, can_index) of all regular files under ``paths``.
 
-    Files are read as Spark's binary source gives them; hidden ones, below the given paths, are left
-    out unless asked for. UTF-16 with a byte-order mark is decoded; other bytes are read as UTF-8.
+    Files are read as Spark's binary source gives them, which never lists names that begin with a dot
+    or an underscore. UTF-16 with a byte-order mark is decoded; other bytes are read as UTF-8.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive)).load(list(paths))
-    out = files.select(
+    return files.select(
         "path",
         F.col("length").alias("byte_length"),
         F.col("modificationTime").alias("modified"),
@@ -23,7 +23,6 @@ def read_files(spark: SparkSession, *paths: str, recursive: bool = True, hidden:
         decode(F.col("content")).alias("text"),
         indexable(F.col("length"), F.col("content")).alias("can_index"),
     )
-    return out if hidden else out.filter(~is_hidden(F.col("path"), [p.rstrip("/") for p in paths]))
 
 
 def decode(content: Column) -> Column:
@@ -32,10 +31,8 @@ def decode(content: Column) -> Column:
     return F.when(wide, F.decode(content, "UTF-16")).otherwise(F.make_valid_utf8(content.cast("string")))
 
 
-def is_hidden(path: Column, below: list[str] = ()) -> Column:
-    """Whether a name of the path begins with a dot; what stands in ``below`` isn't looked at."""
-    for root in below:
-        path = F.regexp_replace(path, "^.*?" + "".join(c if c.isalnum() or c == "/" else f"\\x{ord(c):02X}" for c in root), "")
+def is_hidden(path: Column) -> Column:
+    """Whether a name of the path begins with a dot."""
     return path.rlike(r"(^|/)\.[^/]")
 
 
