@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-LEAF, FAN = 64, 16
+#: Points of a leaf among the data and among queries (whose leaves share one bound), and children.
+LEAF, QUERY_LEAF, FAN = 64, 8, 16
 SCALE = 256
 #: Components up to this size give scores that a double holds exactly.
 EXACT = 1 << 20
@@ -35,14 +36,14 @@ class CoverTree:
     to the nearest. A node's radius covers all points below it, and is measured, not assumed.
     """
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray):
-        self.order = np.arange(len(ids))
+    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
+        self.leaf, self.order = leaf, np.arange(len(ids))
         self.x = points.astype(np.float64)
         self.centre, self.radius, self.low, self.high, self.children = [], [], [], [], []
         if len(ids):
             self._grow(0, len(ids), 0)
         self.ids, self.points, self.x = ids[self.order], points[self.order], self.x[self.order]
-        self.centre, self.radius = np.array(self.centre).reshape(-1, points.shape[1]), np.array(self.radius)
+        self.centre, self.radius = np.array(self.centre).reshape(len(self.radius), points.shape[1]), np.array(self.radius)
         self.low, self.high = np.array(self.low, np.int64), np.array(self.high, np.int64)
         self.norm = np.sqrt((self.centre**2).sum(1))
 
@@ -56,7 +57,7 @@ class CoverTree:
         self.low.append(low)
         self.high.append(high)
         self.children.append([])
-        if high - low <= LEAF or distance.max() == 0:
+        if high - low <= self.leaf or distance.max() == 0:
             return node
         nearest, owner = distance, np.zeros(len(at), np.int64)
         for child in range(1, FAN):
@@ -198,7 +199,7 @@ def _meet(k: int):
             tree = CoverTree(ids, points)
             for g in groups.itertuples():
                 q_ids, q_points = _unpack(g.q_ids, g.q_vectors, width)
-                own = CoverTree(q_ids, q_points)
+                own = CoverTree(q_ids, q_points, QUERY_LEAF)
                 floor = np.frombuffer(g.floors, np.float64)[own.order] if g.floors else np.full(len(q_ids), -np.inf)
                 best = search(own, tree, k, floor, _is_exact(points, q_points))
                 for row, n in enumerate(best.count.tolist()):
@@ -366,5 +367,5 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, block_rows: int =
     balls = spark.sparkContext.broadcast(runs)
     reach = materialize(floored.mapInPandas(_reachable(balls, 64), _REACH_SCHEMA), "reachable")
     found = materialize(first.unionByName(_cogroup(blocks, reach, k)), "found")
-    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score")))
+    best = F.array_sort(F.collect_list(F.struct(F.bitwise_not("score").alias("s"), "vec_id", "score")))
     return found.groupBy("query_id").agg(F.slice(best, 1, k).alias("b")).select("query_id", F.posexplode("b").alias("i", "x")).select("query_id", (F.col("i") + 1).alias("rank"), "x.vec_id", "x.score")

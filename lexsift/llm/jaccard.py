@@ -1,7 +1,7 @@
 """Operator 10: n-gram Jaccard self-join by vertical partitioning, down to connected components.
 
 A text's set is its distinct word shingles, as 64-bit hashes, in one global order: rare ones by hash,
-then the most frequent ones of the corpus by hash. The order is cut into fragments, so every set is
+then the frequent ones of the corpus by how many documents have them. The order is cut into fragments, so every set is
 cut into segments; the overlap of two sets is counted segment by segment and summed per pair.
 
 Pairs to count come from prefixes: sets of similarity t must share one of their first shingles. Two
@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize
 from .components import connected_components
-from .lm import _least_count
-from .textkernel import distinct_sorted, list_array, mix, shingles, slices, words
+from .textkernel import distinct_sorted, least_count, list_array, merge_counts, mix, shingles, slices, words
 
 FRAGMENTS = 8
 #: Bits of a set's sketch: each shingle turns over one bit. Sketches differ in no more bits than the
@@ -37,32 +36,48 @@ def _sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return distinct_sorted(rows, hashes, len(offs) - 1)
 
 
-def _frequent(k: int, least: int):
+def _frequent(k: int, least: int, held: int):
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lossy counting: when too many shingles are held, those seen once are let go."""
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for _, buf, offs in slices(batch.column("text")):
-                keys, counts = np.unique(_sets(buf, offs, k)[0], return_counts=True)
-                often = counts >= least
-                yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["key", "n"])
+                new, times = np.unique(_sets(buf, offs, k)[0], return_counts=True)
+                keys, counts = merge_counts([keys, new], [counts, times])
+                if len(keys) > held:
+                    keys, counts = keys[counts > 1], counts[counts > 1]
+                    if len(keys) > held:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
+                        keys, counts = keys[:0], counts[:0]
+        often = counts >= least
+        yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["key", "n"])
 
     return frequent
 
 
-def frequent_shingles(docs: DataFrame, k: int, most: int = 1 << 16) -> np.ndarray:
-    """Up to ``most`` shingles that many documents have, sorted. Each run of documents gives those it
-    sees three times; the order is the same for all documents whichever these are, so they steer the
-    work and not the result."""
-    counts = docs.select("text").mapInArrow(_frequent(k, 3), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def frequent_shingles(docs: DataFrame, k: int, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Up to ``most`` shingles that many documents have, sorted, and the place of each in the order of
+    how many these are. Counts cover all documents; what a task saw fewer than four times is left out.
+    Every document is put into the same order, so which shingles these are steers the work and not
+    the result."""
+    counts = docs.select("text").mapInArrow(_frequent(k, 4, 1 << 20), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "jaccard-frequent")
-    least = _least_count([tuple(r) for r in counts.groupBy("n").count().collect()], most)
-    return np.sort(counts.filter(F.col("n") >= least).select("key").toArrow().column("key").to_numpy().view(np.uint64))
+    least = least_count([tuple(r) for r in counts.groupBy("n").count().collect()], most)
+    got = counts.filter(F.col("n") >= least).toArrow()
+    keys, n = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    place = np.empty(len(keys), np.int64)
+    place[np.lexsort((keys, n))] = np.arange(1, len(keys) + 1)
+    order = np.argsort(keys)
+    return keys[order], place[order]
 
 
-def _is_frequent(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    if not len(frequent):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
-    return frequent[at] == values
+def _places(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """0 for rare shingles, then by frequency."""
+    keys, place = frequent
+    if not len(keys):
+        return np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return np.where(keys[at] == values, place[at], 0)
 
 
 def _signatures(shared, k: int, num: int, den: int):
@@ -73,8 +88,8 @@ def _signatures(shared, k: int, num: int, den: int):
                 values, bounds = _sets(buf, offs, k)
                 n_rows, n = len(offs) - 1, np.diff(bounds)
                 row = np.repeat(np.arange(n_rows), n)
-                often = _is_frequent(values, frequent)
-                order = np.lexsort((values, often, row))
+                place = _places(values, frequent)
+                order = np.lexsort((values, place, row))
                 rank = np.arange(len(row)) - bounds[:-1][row]
                 length = np.where(n > 0, n - -(-num * n // den) + 1, 0)
                 kept = rank < length[row]
@@ -91,7 +106,7 @@ def _signatures(shared, k: int, num: int, den: int):
                         part.column("row_id"),
                         part.column("doc_id"),
                         pa.array(n.astype(np.int64)),
-                        pa.array(np.bincount(row[~often], minlength=n_rows).astype(np.int64)),
+                        pa.array(np.bincount(row[place == 0], minlength=n_rows).astype(np.int64)),
                         *map(pa.array, digest),
                         list_array(values[order][kept].view(np.int64), np.concatenate(([0], np.cumsum(length))), pa.int64()),
                         list_array(sketch, np.arange(n_rows + 1) * (SKETCH // 64), pa.int64()),
@@ -110,7 +125,7 @@ def _segments(shared, k: int):
                 values, bounds = _sets(buf, offs, k)
                 row = np.repeat(np.arange(len(offs) - 1), np.diff(bounds))
                 fragment = (values >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)
-                fragment = np.where(_is_frequent(values, frequent), FRAGMENTS - 1, fragment.astype(np.int64))
+                fragment = np.where(_places(values, frequent) > 0, FRAGMENTS - 1, fragment.astype(np.int64))
                 order = np.lexsort((values, fragment, row))
                 key = row[order] * FRAGMENTS + fragment[order]
                 starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
@@ -140,15 +155,17 @@ def _count_overlaps(pairs: DataFrame, classes: DataFrame, numbered: DataFrame, s
     return summed.filter(F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _possible(num: int, den: int):
-    """Size and position filters for x and y of one bucket; y is the one that is not longer.
+def _need(num: int, den: int, n):
+    """How many shingles a linked pair of ``n`` in both sets together has in common at least."""
+    return F.ceil(n * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
 
-    Two linked sets have at least ``need`` shingles in common. At the first shingle they share, both
-    must have that many left, itself included.
-    """
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
+
+def _possible(num: int, den: int):
+    """Size and position filters for x and y of one bucket: at the first shingle that linked sets
+    share, both must have as many left, itself included, as they need to share."""
+    need = _need(num, den, F.col("x.n") + F.col("y.n"))
     return (
-        (F.col("y.n") * den >= F.col("x.n") * num)
+        (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
         & (F.col("x.n") - F.col("x.pos") >= need)
         & (F.col("y.n") - F.col("y.pos") >= need)
     )
@@ -180,8 +197,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # prefix buckets with two classes or more; pos is the place of the bucket's shingle in the set
     prefixes = signed.select("row_id", "prefix").join(numbers, "row_id")
     entries = prefixes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
-    pivots = entries.groupBy("token").agg(F.min("cid").alias("pivot"), F.count("*").alias("classes")).filter("classes > 1")
-    buckets = materialize(entries.join(pivots.drop("classes"), "token"), "jaccard-buckets")
+    # of a pair, the set that isn't longer has the bucket's shingle in the first half of its prefix
+    first_half = F.col("n") - F.col("pos") >= _need(num, den, 2 * F.col("n"))
+    pivots = entries.groupBy("token").agg(F.min("cid").alias("pivot"), F.count("*").alias("classes"), F.bool_or(first_half).alias("open"))
+    pivots = pivots.filter("classes > 1 and open").select("token", "pivot")
+    buckets = materialize(entries.join(pivots, "token"), "jaccard-buckets")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Pairs whose sketches differ in no more bits than linked sets may differ in shingles."""
@@ -199,12 +219,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             F.when(F.col("x.cid") < F.col("y.cid"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb"),
         ).distinct()
 
-    longer = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cid") > F.col("y.cid")))
-    centre = buckets.filter("cid = pivot")
-    rest = buckets.filter("cid <> pivot")
-    either = rest.alias("x").join(centre.alias("y"), "token").filter(longer & _possible(num, den))
-    other = centre.alias("x").join(rest.alias("y"), "token").filter(longer & _possible(num, den))
-    stars = materialize(similar(ordered(either).unionByName(ordered(other)).distinct()), "jaccard-stars")
+    centre, rest = buckets.filter("cid = pivot").alias("x"), buckets.filter("cid <> pivot").alias("y")
+    stars = materialize(similar(ordered(rest.join(centre, "token").filter(_possible(num, den)))), "jaccard-stars")
     links = materialize(_count_overlaps(stars, classes, numbered, shared, k, num, den), "jaccard-star-links")
     roots = materialize(connected_components(links), "jaccard-roots")
 
@@ -212,17 +228,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     rooted = roots.select(F.col("node").alias("cid"), "root")
     placed = buckets.join(rooted, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     placed = placed.join(rooted.select(F.col("cid").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left")
-    placed = materialize(placed.withColumn("pivot_root", F.coalesce("pivot_root", "pivot")), "jaccard-placed").drop("pivot")
-    outside = placed.filter("root <> pivot_root").drop("pivot_root")
-    open_tokens = outside.select("token").distinct()
-    inside = placed.filter("root = pivot_root").drop("pivot_root").join(open_tokens, "token", "left_semi")
-    apart = F.col("x.root") != F.col("y.root")
-    found = [
-        ordered(left.alias("x").join(right.alias("y"), "token").filter(apart & longer & _possible(num, den)))
-        for left, right in ((outside, outside), (outside, inside), (inside, outside))
-    ]
-    pairs = found[0].unionByName(found[1]).unionByName(found[2]).distinct()
-    pairs = materialize(similar(pairs).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
+    placed = placed.withColumn("outside", F.col("root") != F.coalesce("pivot_root", "pivot"))
+    placed = materialize(placed.select("token", "cid", "n", "pos", "root", "outside"), "jaccard-placed")
+    once = ~F.col("y.outside") | (F.col("x.cid") < F.col("y.cid"))
+    found = placed.filter("outside").alias("x").join(placed.alias("y"), "token")
+    found = found.filter((F.col("x.root") != F.col("y.root")) & once & _possible(num, den))
+    pairs = materialize(similar(ordered(found)).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
     more = _count_overlaps(pairs, classes, numbered, shared, k, num, den)
     everything = materialize(links.unionByName(more), "jaccard-links")
     roots = connected_components(everything).withColumnRenamed("node", "cid")

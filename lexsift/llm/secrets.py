@@ -52,7 +52,10 @@ ALLOW = (
 )
 
 SPAN = "array<struct<start:int,end:int>>"
-_EMPTY = F.array().cast(SPAN)
+
+
+def _none() -> Column:
+    return F.array().cast(SPAN)
 
 
 def _matches(text: Column, pattern: str, group: int, least: int, guard: str | None = None) -> Column:
@@ -76,8 +79,8 @@ def _matches(text: Column, pattern: str, group: int, least: int, guard: str | No
         span = F.array(F.struct(start.alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(x["measured"] >= least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), _EMPTY.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(guard), spans).otherwise(_EMPTY) if guard else spans
+    spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), _none().alias("spans")), step, lambda acc: acc["spans"])
+    return F.when(text.rlike(guard), spans).otherwise(_none()) if guard else spans
 
 
 def _entropy_limit(candidate: Column) -> Column:
@@ -114,7 +117,7 @@ def _random_runs(candidate: Column, limit: Column, window: int) -> Column:
         return F.struct(total.alias("total"), run.alias("run"), closed.alias("runs"))
 
     none = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
-    zero = F.struct(F.lit(0.0).alias("total"), none.alias("run"), _EMPTY.alias("runs"))
+    zero = F.struct(F.lit(0.0).alias("total"), none.alias("run"), _none().alias("runs"))
     finish = lambda acc: F.when(acc["run"]["end"] > 0, F.concat(acc["runs"], F.array(acc["run"]))).otherwise(acc["runs"])
     return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), zero, step, finish)
 

@@ -64,39 +64,50 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each anchor: 32 bits of its hash, and the fragment around it by hash and place. The
+    fragment has every string of its row that holds the anchor."""
     for batch in batches:
         for first, buf, offs in slices(batch.column("text")):
             at, h = anchors(buf, offs)
             row = np.searchsorted(offs, at, "right") - 1
-            ids = batch.column("row_id").slice(first, len(offs) - 1).to_numpy()
+            low, high = np.maximum(at - REACH, offs[row]), np.minimum(at + LENGTH, offs[row + 1])
+            part = batch.slice(first, len(offs) - 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(ids[row]), pa.array((at - offs[row]).astype(np.int32))], ["anchor", "row_id", "at"]
+                [
+                    pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                    pa.array(span_hashes(buf, low, high).view(np.int64) if len(at) else np.zeros(0, np.int64)),
+                    part.column("doc_id").take(pa.array(row)),
+                    part.column("row_id").take(pa.array(row)),
+                    pa.array((low - offs[row]).astype(np.int32)),
+                    pa.array((high - low).astype(np.int32)),
+                ],
+                ["anchor", "fragment", "doc_id", "row_id", "start", "size"],
             )
 
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row_id, doc_id, text and anchors (bucket, at) -> a row for each anchor with the bytes around it."""
+    """row_id, doc_id, text and the wanted places (bucket, start, size) -> their bytes, a row each."""
     for batch in batches:
         text = batch.column("text").cast(pa.binary())
-        found = batch.column("found")
-        bounds = found.offsets.to_numpy() - found.offsets[0].as_py()
-        flat = found.flatten()
-        bucket, at = flat.field("bucket").to_numpy(), flat.field("at").to_numpy()
+        wanted = batch.column("wanted")
+        bounds = wanted.offsets.to_numpy() - wanted.offsets[0].as_py()
+        flat = wanted.flatten()
+        bucket, start, size = (flat.field(c).to_numpy() for c in ("bucket", "start", "size"))
         row = np.repeat(np.arange(len(batch)), np.diff(bounds))
-        for part in range(0, len(at), 1 << 16):
-            rows, ats = row[part : part + (1 << 16)], at[part : part + (1 << 16)]
-            low, pieces, last, raw = np.maximum(ats - REACH, 0), [], -1, b""
-            for r, a, b in zip(rows.tolist(), low.tolist(), (ats + LENGTH).tolist(), strict=True):
+        for i in range(0, len(row), 1 << 16):
+            rows, starts = row[i : i + (1 << 16)], start[i : i + (1 << 16)]
+            pieces, last, raw = [], -1, b""
+            for r, a, n in zip(rows.tolist(), starts.tolist(), size[i : i + (1 << 16)].tolist(), strict=True):
                 if r != last:
                     raw, last = text[r].as_py(), r
-                pieces.append(raw[a:b])
+                pieces.append(raw[a : a + n])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(bucket[part : part + (1 << 16)]),
+                    pa.array(bucket[i : i + (1 << 16)]),
                     pa.array(pieces, pa.binary()),
                     batch.column("doc_id").take(pa.array(rows)),
                     batch.column("row_id").take(pa.array(rows)),
-                    pa.array(low.astype(np.int32)),
+                    pa.array(starts),
                 ],
                 ["bucket", "bytes", "doc_id", "row_id", "start"],
             )
@@ -132,13 +143,16 @@ def _direct_sort(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return at
 
 
-def two_stage_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+def two_stage_suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Suffixes of ``text`` (uint16 symbols under 257) in the order of their first ``depth`` symbols or more.
 
     A suffix is of kind B when it is smaller than its successor (the one a symbol further on). B
     suffixes are sorted directly. A suffix of the other kind, A, follows from its successor: buckets
     of first symbols are scanned from the smallest; as a bucket's suffixes stand in order, so do
     their predecessors of kind A, at the front of the buckets of their own first symbols.
+
+    With ``wanted``, a flag for each position, only these suffixes come back (and those that follow
+    on them up to the next of kind B, which they are induced from).
     """
     n = len(text)
     if not n:
@@ -150,12 +164,23 @@ def two_stage_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     has = following < len(change)
     next_symbol[has] = text[change[following[has]] + 1]
     kind_b = text < next_symbol
+    if wanted is None:
+        wanted = np.ones(n, bool)
+    else:  # as far as the next B
+        ends = np.where(kind_b, np.arange(n), n)
+        until = np.minimum.accumulate(ends[::-1])[::-1]
+        edge = np.flatnonzero(wanted & ~np.append(wanted[1:], False))
+        steps = np.zeros(n + 1, np.int64)
+        np.add.at(steps, edge, 1)
+        np.add.at(steps, np.minimum(until[edge], n - 1) + 1, -1)
+        wanted = wanted | (np.cumsum(steps[:-1]) > 0)
     room = np.concatenate((text, np.zeros(depth + 16, text.dtype)))
-    b = _direct_sort(room, np.flatnonzero(kind_b), depth)
+    b = _direct_sort(room, np.flatnonzero(kind_b & wanted), depth)
     b = b[np.argsort(text[b], kind="stable")]
     b_bounds = np.searchsorted(text[b], np.arange(258))
     queue: list[list[np.ndarray]] = [[] for _ in range(257)]
-    queue[int(text[n - 1])].append(np.array([n - 1]))  # its successor is the empty suffix
+    if wanted[n - 1]:
+        queue[int(text[n - 1])].append(np.array([n - 1]))  # its successor is the empty suffix
     out = []
     for symbol in range(257):
         front = [q for q in queue[symbol] if len(q)]
@@ -164,11 +189,11 @@ def two_stage_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         while len(turn):  # predecessors of the same symbol: they come behind, run by run
             placed.append(turn)
             before = turn[turn > 0] - 1
-            turn = before[text[before] == symbol]
+            turn = before[(text[before] == symbol) & wanted[before]]
         bucket = np.concatenate((*placed, b[b_bounds[symbol] : b_bounds[symbol + 1]]))
         out.append(bucket)
         before = bucket[bucket > 0] - 1
-        before = before[~kind_b[before] & (text[before] > symbol)]
+        before = before[~kind_b[before] & wanted[before] & (text[before] > symbol)]
         first = text[before]
         order = np.argsort(first, kind="stable")
         before, first = before[order], first[order]
@@ -205,10 +230,11 @@ def repeats_in(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     text[:] = data
     text += 1
     text[starts + size] = 0  # the pieces' ends, smaller than any byte
-    order = two_stage_suffix_array(text, LENGTH + 4)
+    full = np.arange(len(text)) + LENGTH <= np.repeat(starts + size, size + 1)
+    order = two_stage_suffix_array(text, LENGTH + 4, full)
     piece = np.searchsorted(starts, order, "right") - 1
-    full = starts[piece] + size[piece] - order >= LENGTH
-    order, piece = order[full], piece[full]
+    keep = full[order]
+    order, piece = order[keep], piece[keep]
     share = common_prefixes(text, order, LENGTH)
     same = share >= LENGTH
     member = same.copy()
@@ -277,18 +303,33 @@ def _sort_bucket(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return out.reindex(columns=["row_id", "start", "end", "h1", "h2", "doc_id"]).astype({c: "Int64" for c in ("end", "h1", "h2", "doc_id")})
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's runs as few as can be: those that overlap or touch become one."""
+    for batch in batches:
+        runs = batch.column("runs")
+        bounds = runs.offsets.to_numpy() - runs.offsets[0].as_py()
+        start, end = (runs.flatten().field(c).to_numpy() for c in ("start", "end"))
+        row = np.repeat(np.arange(len(batch)), np.diff(bounds))
+        order = np.lexsort((start, row))
+        row, start, end = row[order], start[order], end[order]
+        # the furthest end so far, in each row: ends are raised by row so that one running maximum does
+        lift = row * (int(end.max(initial=0)) + 1)
+        reach = np.maximum.accumulate(end + lift) if len(end) else end
+        first = np.ones(len(row), bool)
+        first[1:] = (row[1:] != row[:-1]) | ((start + lift)[1:] > reach[:-1])
+        last = np.append(first[1:], True) if len(row) else first
+        offsets = np.searchsorted(row[first], np.arange(len(batch) + 1))
+        spans = pa.StructArray.from_arrays([pa.array(start[first]), pa.array((reach - lift)[last])], ["start", "end"])
+        yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)], ["row_id", "runs"])
+
+
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "removed": []}
         text = batch.column("text").cast(pa.binary())
         for raw, runs in zip(text, batch.column("runs"), strict=True):
             raw = raw.as_py()
-            spans: list[list[int]] = []
-            for a, b in sorted((r["start"], r["end"]) for r in runs.as_py() or ()):
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], b)
-                else:
-                    spans.append([a, b])
+            spans = [(r["start"], r["end"]) for r in runs.as_py() or ()]
             keep, at = hashlib.sha256(), 0
             for a, b in spans:
                 keep.update(raw[at:a])
@@ -320,25 +361,39 @@ def remove_repeats(docs: DataFrame, bucket_fragments: int = 4096) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    found = numbered.select("row_id", "text").mapInArrow(_anchors, "anchor long, row_id long, at int")
-    counts = materialize(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchor-counts")
-    # anchors that occur once can't repeat; the others go back to their documents
+    schema = "anchor int, fragment long, doc_id long, row_id long, start int, size int"
+    found = numbered.mapInArrow(_anchors, schema)
+    # one shuffle by anchor: equal fragments in order of place, how many there are, and how many differ
+    place = (F.col("doc_id").asc_nulls_first(), "row_id", "start")
+    order = Window.partitionBy("anchor").orderBy("fragment", *place)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    new = F.coalesce(F.lag("fragment").over(order) != F.col("fragment"), F.lit(True))
+    marked = found.withColumn("first", new).withColumn("n", F.count("*").over(whole)).filter("n > 1")
+    marked = marked.withColumn("kinds", F.sum(F.col("first").cast("int")).over(whole)).filter("kinds > 1 or not first")
+    marked = materialize(marked.drop("fragment", "n"), "repeated-anchors")
+    # of equal fragments all but the earliest go whole; different ones around an anchor are sorted
+    copies = marked.filter("not first").select("row_id", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("end"))
+    different = marked.filter("first and kinds > 1")
     hot = max(2, bucket_fragments // 4)
-    totals = counts.agg(F.sum(F.when(F.col("n") <= hot, F.col("n"))).alias("cold"), F.sum(F.when(F.col("n") > hot, F.col("n"))).alias("hot")).first()
+    totals = different.agg(*[F.sum(F.when(c, 1)).alias(name) for name, c in (("cold", F.col("kinds") <= hot), ("hot", F.col("kinds") > hot))]).first()
     cold_buckets, hot_buckets = (max(1, -(-(totals[c] or 0) // bucket_fragments)) for c in ("cold", "hot"))
-    part = F.pmod(F.xxhash64("row_id"), F.ceil(F.col("n") / hot))
-    bucket = F.when(F.col("n") <= hot, F.pmod(F.xxhash64("anchor"), F.lit(cold_buckets))).otherwise(cold_buckets + F.pmod(F.xxhash64("anchor", part), F.lit(hot_buckets)))
-    repeated = found.join(counts, "anchor").withColumn("bucket", bucket)
-    by_row = materialize(repeated.groupBy("row_id").agg(F.collect_list(F.struct("bucket", "at")).alias("found")), "repeated-anchors")
-    cut = numbered.join(by_row, "row_id").mapInArrow(_fragments, "bucket long, bytes binary, doc_id long, row_id long, start int")
+    part = F.pmod(F.xxhash64("row_id"), F.ceil(F.col("kinds") / hot))
+    cold = F.pmod(F.xxhash64("anchor"), F.lit(cold_buckets))
+    bucket = F.when(F.col("kinds") <= hot, cold).otherwise(cold_buckets + F.pmod(F.xxhash64("anchor", part), F.lit(hot_buckets)))
+    wanted = different.groupBy("row_id").agg(F.collect_list(F.struct(bucket.alias("bucket"), "start", "size")).alias("wanted"))
+    cut = numbered.join(wanted, "row_id").mapInArrow(_fragments, "bucket long, bytes binary, doc_id long, row_id long, start int")
     cut = cut.withColumn("split", F.col("bucket") >= cold_buckets)
     runs = materialize(cut.groupBy("bucket").applyInPandas(_sort_bucket, "row_id long, start long, end long, h1 long, h2 long, doc_id long"), "repeated-runs")
-    # strings of hot anchors that are first in their bucket: the earliest of all buckets stays
+    # strings around hot anchors that are first in their bucket: the earliest of all buckets stays
     order = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_first(), "row_id", "start")
     asked = runs.filter("h1 is not null").withColumn("best", F.first(F.struct("row_id", "start")).over(order))
     asked = asked.filter(F.col("best") != F.struct("row_id", "start"))
-    spans = runs.filter("h1 is null").select("row_id", "start", "end").unionByName(asked.select("row_id", "start", (F.col("start") + LENGTH).alias("end")))
-    spans = materialize(spans.groupBy("row_id").agg(F.collect_list(F.struct("start", "end")).alias("runs")), "removed-runs")
-    joined = numbered.join(broadcast_if_small(spans), "row_id", "left").select("doc_id", "text", "runs")
+    spans = runs.filter("h1 is null").select("row_id", "start", "end").unionByName(copies)
+    spans = spans.unionByName(asked.select("row_id", "start", (F.col("start") + LENGTH).alias("end")))
+    spans = spans.groupBy("row_id").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    spans = materialize(spans.mapInArrow(_merge, "row_id long, runs array<struct<start:long,end:long>>"), "removed-runs")
+    few = spans.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0] <= 500_000
+    spans = broadcast_if_small(spans) if few else spans
+    joined = numbered.join(spans, "row_id", "left").select("doc_id", "text", "runs")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>"
     return joined.mapInArrow(_finish, schema)

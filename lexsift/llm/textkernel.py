@@ -183,3 +183,23 @@ def per_row(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=sums[1:])
     return sums[offs[1:]] - sums[offs[:-1]]
+
+
+def merge_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with their counts summed."""
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(c, first) if len(first) else c
+
+
+def least_count(histogram: list, most: int) -> int:
+    """The least count such that at most ``most`` keys have it or more. histogram: (n, keys), any order."""
+    total, least = 0, 1 << 62
+    for n, keys in sorted(histogram, reverse=True):
+        total += keys
+        if total > most:
+            break
+        least = n
+    return least

@@ -1,5 +1,6 @@
 """Operators 4, 5, 8 and 9: brute force for what is counted, held-out accuracy for what is learned."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -14,6 +15,8 @@ from lexsift.llm.common import fold, table
 from lexsift.llm.langid import identify_languages
 from lexsift.llm.quality import score_quality
 
+from .conftest import prose
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -33,7 +36,7 @@ def test_unigram_base(odd_docs):
     for r in rows:
         own = tokens(r["text"])
         score = sum(np.log10((counts[t] + 0.5) / (total + 0.5 * (distinct + 1))) for t in own)
-        want.append((r["doc_id"], len(own), sum(counts[t] > 0 for t in own), total, round(score, 6)))
+        want.append((r["doc_id"], len(own), sum(counts[t] > 0 for t in own), total, round(float(score), 6)))
     for head in (200_000, 5):  # with nearly all words left to the join, the sums are the same
         got = lm.score_documents(odd_docs, fold(F.col("doc_id")) != 1, max_head=head).collect()
         assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6))) for r in got)
@@ -176,7 +179,8 @@ def test_field_learns_its_labels():
 
 
 def test_boilerplate_goes_and_content_stays(spark):
-    prose = "\n".join(f"This is sentence number {i} of a calm and ordinary text about rivers and hills." for i in range(8))
-    junk = "\n".join(f"### $$$ click%{i} &&& here*** <<>> ||| ### $$$ &&& *** <>" for i in range(12))
-    got = {r["doc_id"]: r for r in rules.apply_rules(spark.createDataFrame([(1, prose), (2, junk)], "doc_id long, text string")).collect()}
+    rng = random.Random(4)
+    calm = "\n".join(prose(rng, 12) + "." for _ in range(8))
+    junk = "\n".join(" ".join(f"{rng.choice('#*$%&|<>')}{rng.randrange(10**6)}{rng.choice('#*$%&')}{rng.choice('#*$%&')}" for _ in range(9)) for _ in range(12))
+    got = {r["doc_id"]: r for r in rules.apply_rules(spark.createDataFrame([(1, calm), (2, junk)], "doc_id long, text string")).collect()}
     assert got[1]["kept"] and got[1]["line_labels"] == "C" * 8 and not got[2]["kept"]

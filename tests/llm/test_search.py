@@ -85,7 +85,7 @@ def test_pruning_skips_far_nodes():
 
     covertree._scores = counted
     try:
-        q, d = CoverTree(np.arange(10**6, 10**6 + 60), queries), CoverTree(np.arange(6000), data)
+        q, d = CoverTree(np.arange(10**6, 10**6 + 60), queries, covertree.QUERY_LEAF), CoverTree(np.arange(6000), data)
         best = search(q, d, 5, np.full(60, -np.inf), True)
     finally:
         covertree._scores = plain
