@@ -57,3 +57,15 @@ def fold(doc_id: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def bounded_sample(df: DataFrame, total: int, most: int, *keys: str) -> DataFrame:
+    """About ``most`` of ``total`` rows, never more, chosen by a hash of ``keys``.
+
+    A threshold on the hash lets few rows through before they are ordered, so what a task hands on
+    doesn't grow with the number of tasks.
+    """
+    h = F.xxhash64(*keys)
+    if total > most:
+        df = df.filter(F.pmod(h, F.lit(1 << 40)) < int(most / total * (1 << 40)))
+    return df.orderBy(h).limit(most)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_sample, materialize
 
 #: Points of a leaf among the data and among queries (whose leaves share one bound), and children.
 LEAF, QUERY_LEAF, FAN = 64, 8, 16
@@ -320,7 +320,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, block_rows: int =
     valid = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
     valid = valid.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"), is_query.alias("is_query"))
     valid = materialize(valid, "vectors")
-    pivots = _pivots(valid.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect(), most_pivots)
+    chosen = bounded_sample(valid.select("vec_id", "v"), valid.count(), sample, "vec_id", "v")
+    pivots = _pivots(chosen.collect(), most_pivots)
     shared = spark.sparkContext.broadcast(pivots)
     schema = "vec_id long, v array<long>, width long, pivot long, distance double"
     near = materialize(valid.select("vec_id", "v").mapInArrow(_assign(shared), schema), "vectors-near")

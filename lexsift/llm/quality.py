@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
 from .textkernel import list_array, per_row, slices, words
 
 BUCKETS, RANK, NEIGHBOURS, ROWS = 4096, 48, 15, 512
@@ -119,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, in_training: Column, sample: int = 2
     if not sizes:
         training.unpersist()
         return None
-    parts = [training.filter(F.col("label") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for x in sorted(sizes)]
+    parts = [bounded_sample(training.filter(F.col("label") == x), sizes[x], sample, "doc_id") for x in sorted(sizes)]
     chosen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     rows = chosen.collect()  # at most 2 * sample ids
     training.unpersist()

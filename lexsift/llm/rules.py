@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
 from .textkernel import IS_SPACE, list_array, mix, per_row, shingles, slices, span_hashes, words
 
 #: Fixed value: the characters that count as symbols.
@@ -182,7 +183,7 @@ def _sample_lines(most_lines: int):
 
 def fit(docs: DataFrame, sample: int = 2000, most_lines: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """The field, from the first ``most_lines`` lines of ``sample`` documents chosen by hash of the id."""
-    picked = docs.select(F.xxhash64("doc_id").alias("h"), "text").orderBy("h").limit(sample)
+    picked = bounded_sample(docs, docs.count(), sample, "doc_id", "text").select(F.xxhash64("doc_id").alias("h"), "text")
     got = picked.mapInArrow(_sample_lines(most_lines), "h long, line array<long>, x array<double>").toArrow()
     hashes = got.column("line").combine_chunks()
     if not len(hashes):
