@@ -81,3 +81,28 @@ def parse_quantity(value: Column, rate: Column) -> Column:
     number = F.when((digits != "") & (F.length(F.ltrim(digits, F.lit("0"))) <= 20), digits.try_cast("decimal(24,0)"))
     total = (number * times).cast("decimal(38,0)")
     return F.when((total > 0) & (total <= F.lit("18446744073709551615").cast("decimal(38,0)")), total.cast("decimal(20,0)"))
+
+
+def xor64(raw: Column) -> Column:
+    """The older checksum: the exclusive or of the whole little-endian 64-bit words of a binary column.
+
+    Halves of words are read high byte first, and the bytes turned round once at the end.
+    """
+    words = F.regexp_extract_all(F.hex(raw), F.lit("[0-9A-F]{16}"), F.lit(0))
+    half = lambda w, at: F.conv(F.substring(w, at, 8), 16, 10).cast("long")
+    zero = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    step = lambda acc, w: F.struct(acc["a"].bitwiseXOR(half(w, 1)).alias("a"), acc["b"].bitwiseXOR(half(w, 9)).alias("b"))
+
+    def turned(x):
+        out = F.lit(0).cast("long")
+        for i in range(4):
+            out = F.shiftleft(out, 8).bitwiseOR(F.shiftright(x, 8 * i).bitwiseAND(F.lit(255)))
+        return out
+
+    return F.aggregate(words, zero, step, lambda acc: F.shiftleft(turned(acc["b"]), 32).bitwiseOR(turned(acc["a"])))
+
+
+def progress_json(done: Column, total: Column, elapsed: Column) -> Column:
+    """done, total, and eta: the elapsed time in proportion to what is left, null at both ends."""
+    eta = F.when((done > 0) & (done < total), F.floor(elapsed * (total - done) / done))
+    return F.to_json(F.struct(done.alias("done"), total.alias("total"), elapsed.alias("elapsed"), eta.cast("long").alias("eta")))

@@ -27,7 +27,7 @@ def committed(log: DataFrame) -> DataFrame:
 
 def orphans(files: DataFrame, referenced: DataFrame) -> DataFrame:
     """Files (name) whose stem nothing refers to (stem)."""
-    stem = F.regexp_extract("name", r"^(.*)\.(?:tgs|thi|qwi)$", 1)
+    stem = F.regexp_extract("name", r"^(.*)\.(?:tri|old|wrd)$", 1)
     return files.withColumn("stem", stem).filter("stem <> ''").join(referenced, "stem", "left_anti").select("name")
 
 
@@ -63,11 +63,11 @@ def disk_usage(files: DataFrame, active: DataFrame) -> DataFrame:
     Parts of active segments count by kind; parts of other segments, and everything else, count
     apart. Allocated space of several links to one file counts once.
     """
-    part = F.regexp_extract("name", r"^.*\.(tgs|thi|qwi)$", 1)
+    part = F.regexp_extract("name", r"^.*\.(tri|old|wrd)$", 1)
     stem = F.regexp_extract("name", r"^(.*)\.[^.]*$", 1)
     known = files.withColumn("part", part).withColumn("stem", stem).join(active.withColumn("is_active", F.lit(True)), "stem", "left")
     live = F.coalesce("is_active", F.lit(False))
-    kinds = {"trigram": "tgs", "word": "qwi", "legacy": "thi"}
+    kinds = {"trigram": "tri", "word": "wrd", "legacy": "old"}
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("bytes"))), F.lit(0)).cast("long")
     sums = known.agg(
         *[total(live & (F.col("part") == ext)).alias(name) for name, ext in kinds.items()],

@@ -182,3 +182,22 @@ def feature_labels(spark, sf_dir):
     names = [F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(("sse42", "avx2", "avx512", "neon"))]
     label = F.concat_ws(" ", *names)
     return values(spark, FEATURES, "bits").withColumn("label", F.when(label == "", "scalar").otherwise(label))
+
+
+@query()
+def xor_checksums(spark, sf_dir):
+    """The older checksum of every page; SQL would have to take the words apart."""
+    return table(spark, sf_dir, "pages").select("page_id", numeric.xor64(F.encode("html", "UTF-8")).alias("checksum"))
+
+
+@query(f"""SELECT done, '{{"done":' || done || ',"total":' || total || ',"elapsed":' || elapsed || CASE WHEN done > 0 AND done < total THEN ',"eta":' || (elapsed * (total - done) // done) ELSE '' END || '}}' AS progress
+FROM (VALUES {PROGRESS}) t(done, total, elapsed)""")
+def progress_documents(spark, sf_dir):
+    rows = values(spark, PROGRESS, "done, total, elapsed")
+    return rows.select("done", numeric.progress_json(F.col("done"), F.col("total"), F.col("elapsed")).alias("progress"))
+
+
+@query("SELECT doc_id, '/data/' || source || '/' || lang || '/' || doc_id || '.txt' AS path FROM documents")
+def full_paths(spark, sf_dir):
+    """Roots joined with the paths below them."""
+    return corpus(spark, sf_dir).select("doc_id", F.concat_ws("/", F.lit("/data"), "root", "path").alias("path"))

@@ -133,9 +133,9 @@ def path_lookup(spark, sf_dir):
     return docs.filter(wanted).select("doc_id", "root_id")
 
 
-@query("SELECT format('seg_{:08d}.tgs', doc_id) AS name, doc_id FROM documents")
+@query("SELECT format('seg_{:08d}.tri', doc_id) AS name, doc_id FROM documents")
 def segment_names(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.format_string("seg_%08d.tgs", "doc_id").alias("name"), "doc_id")
+    return table(spark, sf_dir, "documents").select(F.format_string("seg_%08d.tri", "doc_id").alias("name"), "doc_id")
 
 
 PARTS = "('seg_1', 41, 123), ('seg_2', 42, 5), ('seg_3', 41, 7)"
@@ -165,3 +165,43 @@ def engine_counters(spark, sf_dir):
     )
     whole = parts[0].unionByName(parts[1], True).unionByName(parts[2], True)
     return whole.agg(*[F.max(c).alias(c) for c in whole.columns])
+
+
+ROOTS = ("src0", "src1", "src2", "src3")
+
+
+@query("SELECT doc_id, source AS root, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN '/roots/' || source END AS root_path FROM documents")
+def root_lookup(spark, sf_dir):
+    """Each document's root by its position in the manifest's list; null where the list has none."""
+    roots = spark.createDataFrame([(i, r, f"/roots/{r}") for i, r in enumerate(ROOTS)], "root_id int, root string, root_path string")
+    return corpus(spark, sf_dir).join(F.broadcast(roots), "root", "left").select("doc_id", "root", "root_path")  # four rows
+
+
+SEGMENTS = "('a', 2, 0, '/x'), ('b', 1, 0, '/x'), ('c', 2, 3, '/y'), ('d', 2, 1, 'relative')"
+
+
+@query(f"""SELECT stem, version >= 2 AS may_prune, root_id < 2 AS bound, left(root, 1) = '/' AS absolute,
+  version >= 2 AND root_id < 2 AND left(root, 1) = '/' AS usable FROM (VALUES {SEGMENTS}) t(stem, version, root_id, root)""")
+def usable_segments(spark, sf_dir):
+    """Segments may prune from version 2, with roots that the list has, given from the top."""
+    rows = values(spark, SEGMENTS, "stem, version, root_id, root")
+    rows = rows.select("stem", (F.col("version") >= 2).alias("may_prune"), (F.col("root_id") < 2).alias("bound"), F.col("root").startswith("/").alias("absolute"))
+    return rows.withColumn("usable", F.col("may_prune") & F.col("bound") & F.col("absolute"))
+
+
+@query(f"WITH {GRAMS_SQL} SELECT doc_id FROM grams WHERE gram = '746865' ORDER BY doc_id LIMIT 20 OFFSET 20")
+def candidate_page(spark, sf_dir):
+    """The second page of twenty candidates."""
+    return postings(table(spark, sf_dir, "documents")).filter("gram = '746865'").select("doc_id").orderBy("doc_id").offset(20).limit(20)
+
+
+@query(f"WITH {TOKENS_SQL} SELECT count(*) AS total, least(count(*), 10) AS given FROM tokens WHERE token = 'the'")
+def word_count_and_cap(spark, sf_dir):
+    """A capped lookup still knows how many there are."""
+    found = word_entries(table(spark, sf_dir, "documents")).filter("token = 'the'").agg(F.count("*").alias("total"))
+    return found.withColumn("given", F.least("total", F.lit(10).cast("long")))
+
+
+@query("""SELECT doc_id AS file_id, lang || '/' || doc_id || '.txt' AS path, octet_length(encode(text))::BIGINT AS size FROM documents""")
+def file_list(spark, sf_dir):
+    return corpus(spark, sf_dir).select(F.col("doc_id").alias("file_id"), "path", F.col("byte_length").alias("size"))

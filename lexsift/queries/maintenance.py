@@ -44,16 +44,16 @@ def wal_replay_events(spark, sf_dir):
     return maintenance.committed(log)
 
 
-FILES = "('committed.tgs'), ('committed.qwi'), ('first.tgs'), ('lost.tgs'), ('lost.thi'), ('kept.tgs'), ('manifest.json'), ('not-committed.qwi')"
+FILES = "('committed.tri'), ('committed.wrd'), ('first.tri'), ('lost.tri'), ('lost.old'), ('kept.tri'), ('manifest.json'), ('not-committed.wrd')"
 
 
-@query(f"""WITH {REPLAY_SQL} SELECT name FROM (VALUES {FILES}) t(name) WHERE regexp_matches(name, '\\.(tgs|thi|qwi)$')
+@query(f"""WITH {REPLAY_SQL} SELECT name FROM (VALUES {FILES}) t(name) WHERE regexp_matches(name, '\\.(tri|old|wrd)$')
 AND regexp_extract(name, '^(.*)\\.[a-z]+$', 1) NOT IN (SELECT key FROM replayed UNION ALL SELECT 'kept')""")
 def wal_orphans(spark, sf_dir):
     return orphan_files(values(spark, FILES, "name"), values(spark, LOG, "ord, txn, op, key"), values(spark, "('kept')", "stem"))
 
 
-@query("SELECT name FROM (VALUES ('lost.tgs'), ('lost.thi'), ('committed.tgs'), ('committed.qwi'), ('first.tgs'), ('not-committed.qwi')) t(name)")
+@query("SELECT name FROM (VALUES ('lost.tri'), ('lost.old'), ('committed.tri'), ('committed.wrd'), ('first.tri'), ('not-committed.wrd')) t(name)")
 def unreferenced_files(spark, sf_dir):
     return maintenance.orphans(values(spark, FILES, "name"), values(spark, "('kept')", "stem"))
 
@@ -96,8 +96,8 @@ def compact_small(spark, sf_dir):
     return out.select("gram", F.col("local_id").cast("int").alias("local_id"))
 
 
-STATE = """('a.tgs', 3, 4096, 1, 10), ('a.qwi', 5, 4096, 1, 11), ('a.thi', 7, 4096, 1, 12), ('old.tgs', 11, 4096, 1, 13), ('wal', 13, 4096, 1, 14),
-('files.list', 17, 4096, 1, 15), ('x.tmp', 19, 4096, 1, 16), ('link.tgs', 3, 4096, 1, 10)"""
+STATE = """('a.tri', 3, 4096, 1, 10), ('a.wrd', 5, 4096, 1, 11), ('a.old', 7, 4096, 1, 12), ('old.tri', 11, 4096, 1, 13), ('wal', 13, 4096, 1, 14),
+('files.list', 17, 4096, 1, 15), ('x.tmp', 19, 4096, 1, 16), ('link.tri', 3, 4096, 1, 10)"""
 
 
 @query("SELECT 3::BIGINT AS trigram, 5::BIGINT AS word, 7::BIGINT AS legacy, 14::BIGINT AS other, 49::BIGINT AS auxiliary, 78::BIGINT AS logical, 28672::BIGINT AS allocated")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stats
 from ..sources.tables import table
+from ..sources.trials import markdown_rows
 from .registry import query, values
 
 
@@ -69,3 +70,18 @@ SAMPLES = "(1, 1, 7, 3.0D, 0.95D), (1, 2, 7, 3.0D, 0.95D), (1, 3, 7, 3.0D, 0.95D
 def tuning_fold(spark, sf_dir):
     rows = spark.sql(f"SELECT * FROM (VALUES {SAMPLES}) AS t(signature, seq, config, speedup, confidence)")
     return stats.tune(rows, ("signature",)).select("signature", "samples", "config")
+
+
+@query("""SELECT event_type, count(*) AS searches, sum(CASE WHEN value > 0 THEN 1 ELSE 0 END)::BIGINT AS found, round(avg(value), 6) AS mean_value, round(max(value), 6) AS slowest
+FROM events GROUP BY event_type""")
+def query_log_counters(spark, sf_dir):
+    """Counters of a query log, as the engine would keep them of itself."""
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.count("*").alias("searches"), F.count_if(F.col("value") > 0).alias("found"), F.round(F.avg("value"), 6).alias("mean_value"), F.round(F.max("value"), 6).alias("slowest")
+    )
+
+
+@query("SELECT '| ' || lang || ' | ' || count(*) || ' | ' || sum(n_chars)::BIGINT || ' |' AS line FROM documents GROUP BY lang")
+def markdown_report(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return markdown_rows(docs.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("n_chars")))

@@ -46,3 +46,15 @@ def test_truncation_keeps_characters_whole(spark):
 def test_binary(spark):
     rows = spark.createDataFrame([("a\0b",), ("ab",)], "t string").select(is_binary(F.col("t")).alias("b"))
     assert [r["b"] for r in rows.collect()] == [True, False]
+
+
+def test_xor_of_words(spark):
+    import struct
+
+    cases = [b"", b"1234567", b"12345678", bytes(range(200)), b"\xff" * 24]
+    rows = spark.createDataFrame([(bytearray(c),) for c in cases], "b binary").select("b", numeric.xor64(F.col("b")).alias("x"))
+    for r in rows.collect():
+        want = 0
+        for i in range(0, len(r["b"]) // 8 * 8, 8):
+            want ^= struct.unpack("<q", r["b"][i : i + 8])[0]
+        assert r["x"] == want

@@ -44,3 +44,13 @@ def test_globs(spark):
 
 def test_config():
     assert case_of("--ignore-case\n# x\n--smart-case\n") is Case.SMART
+
+
+def test_trials_from_csv(spark, tmp_path):
+    from lexsift.sources.trials import read_trials, write_report
+
+    (tmp_path / "t.csv").write_text("pattern,category,trial,condition,ours_ms,scan_ms,files\nReturn,broad,01,cold,00310,02150,1\nReturn,broad,02,warm,080,1870,1\n")
+    rows = read_trials(spark, str(tmp_path / "t.csv"))
+    assert sorted((r["tool"], r["condition"], r["time_ms"]) for r in rows.collect()) == [("ours", "cold", 310), ("ours", "warm", 80), ("scan", "cold", 2150), ("scan", "warm", 1870)]
+    write_report(rows, str(tmp_path / "report"))
+    assert spark.read.csv(str(tmp_path / "report"), header=True).count() == 4
