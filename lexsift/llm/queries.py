@@ -16,7 +16,7 @@ from .mixing import mix_documents
 from .packing import pack_documents
 from .quality import score_quality
 from .rules import apply_rules
-from .secrets import scan_secrets, spans_text
+from .secrets import ALLOW, BASE, CANDIDATE, WINDOW, scan_secrets, spans_text
 from .suffix import remove_repeats
 
 
@@ -100,6 +100,43 @@ WITH v AS (
 SELECT * FROM r WHERE rank <= 5
 """
 
+def _matches_sql(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT rid, {rank} AS rank, '{kind}' AS kind, k, h, g, measured FROM (
+    SELECT rid, regexp_extract_all(t, '{quoted}', 0) AS h, string_split_regex(t, '{quoted}') AS g, regexp_extract_all(t, '{quoted}', {group}) AS measured FROM d
+  ), unnest(range(1, len(h) + 1)) u(k) WHERE length(measured[k]) >= {least}"""
+
+
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), hits AS (
+  {" UNION ALL ".join(_matches_sql(i, *row) for i, row in enumerate((*BASE, ("candidate", CANDIDATE, 0, 24))))}
+), placed AS (
+  SELECT rid, rank, kind, h[k] AS c, (list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:k - 1], lambda x: length(x))), 0))::BIGINT AS a FROM hits
+), base AS (SELECT rid, rank, kind, a, a + length(c) AS z FROM placed WHERE kind <> 'candidate'
+), limits AS (
+  SELECT rid, a, c, CASE WHEN regexp_matches(c, '^[0-9A-Fa-f]+$') AND regexp_matches(c, '[0-9]') AND regexp_matches(c, '[A-Fa-f]') THEN 3.0
+    WHEN regexp_matches(c, '[0-9]') AND regexp_matches(c, '[a-z]') AND regexp_matches(c, '[A-Z]') THEN 3.8
+    WHEN regexp_matches(c, '[0-9]') AND regexp_matches(c, '[a-z]') THEN 3.6 WHEN regexp_matches(c, '[0-9]') AND regexp_matches(c, '[A-Z]') THEN 3.6 END::DOUBLE AS bits
+  FROM placed WHERE kind = 'candidate'{"".join(f" AND NOT regexp_matches(c, '{x}')" for x in ALLOW)}
+), windows AS (
+  SELECT rid, a, i, bits, string_split(c[i + 1:i + {WINDOW}], '') AS w FROM limits, unnest(range(0, length(c) - {WINDOW} + 1)) u(i) WHERE bits IS NOT NULL
+), counted AS (
+  SELECT rid, a, i, bits, list_transform(list_distinct(w), lambda x: len(list_filter(w, lambda y: y = x)) / {WINDOW}.0) AS p FROM windows
+), flagged AS (
+  SELECT rid, a, i, i - lag(i) OVER (PARTITION BY rid, a ORDER BY i) AS step FROM counted WHERE -list_sum(list_transform(p, lambda x: x * log2(x))) >= bits - 1e-9
+), runs AS (
+  SELECT rid, a + min(i) AS a, a + max(i) + {WINDOW} AS z FROM (
+    SELECT rid, a, i, sum(CASE WHEN step <= {WINDOW} THEN 0 ELSE 1 END) OVER (PARTITION BY rid, a ORDER BY i) AS run FROM flagged) GROUP BY rid, a, run
+), spans AS (
+  SELECT * FROM base UNION ALL SELECT rid, 3, 'entropy', a, z FROM runs r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = r.rid AND b.a < r.z AND r.a < b.z)
+), joined AS (
+  SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+    string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) FILTER (rank < 3) AS b, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) AS s FROM spans GROUP BY rid
+) SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans
+FROM d LEFT JOIN joined USING (rid)
+"""
+
 OP6_SQL = """
 WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents
 ), w AS (
@@ -192,6 +229,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_dual_cover_tree": OP2_SQL,
+    "op3_secret_scan": OP3_SQL,
     "op6_suffix_dedup": OP6_SQL,
     "op7_source_mixing": OP7_SQL,
     "op10_jaccard_components": OP10_SQL,
