@@ -14,6 +14,7 @@ components are therefore those of all links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,12 @@ from .components import connected_components
 from .textkernel import distinct_sorted, least_count, list_array, merge_counts, mix, shingles, slices, words
 
 FRAGMENTS = 8
+LEAST_SEEN = 4
 #: Bits of a set's sketch: each shingle turns over one bit. Sketches differ in no more bits than the
 #: sets differ in shingles, which rules most pairs out before their segments are counted.
 SKETCH = 1024
+#: The sketch folded to four numbers, which go with the bucket entries.
+QUICK = 4
 
 
 def _sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +64,7 @@ def frequent_shingles(docs: DataFrame, k: int, most: int = 1 << 18) -> tuple[np.
     how many these are. Counts cover all documents; what a task saw fewer than four times is left out.
     Every document is put into the same order, so which shingles these are steers the work and not
     the result."""
-    counts = docs.select("text").mapInArrow(_frequent(k, 4, 1 << 20), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(_frequent(k, LEAST_SEEN, 1 << 20), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "jaccard-frequent")
     least = least_count([tuple(r) for r in counts.groupBy("n").count().collect()], most)
     got = counts.filter(F.col("n") >= least).toArrow()
@@ -160,14 +164,21 @@ def _need(num: int, den: int, n):
     return F.ceil(n * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
 
 
+def _may_differ(num: int, den: int, n):
+    """In how many shingles the sets of a linked pair may differ at most."""
+    return F.floor(n * F.lit(den - num) / F.lit(den + num) + F.lit(1e-9))
+
+
 def _possible(num: int, den: int):
-    """Size and position filters for x and y of one bucket: at the first shingle that linked sets
-    share, both must have as many left, itself included, as they need to share."""
+    """Size, position and sketch filters for x and y of one bucket: at the first shingle that linked
+    sets share, both must have as many left, itself included, as they need to share; and their folded
+    sketches differ in no more bits than the sets may in shingles."""
     need = _need(num, den, F.col("x.n") + F.col("y.n"))
     return (
         (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
         & (F.col("x.n") - F.col("x.pos") >= need)
         & (F.col("y.n") - F.col("y.pos") >= need)
+        & (sum(F.bit_count(F.col(f"x.q{i}").bitwiseXOR(F.col(f"y.q{i}"))) for i in range(QUICK)) <= _may_differ(num, den, F.col("x.n") + F.col("y.n")))
     )
 
 
@@ -201,15 +212,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     first_half = F.col("n") - F.col("pos") >= _need(num, den, 2 * F.col("n"))
     pivots = entries.groupBy("token").agg(F.min("cid").alias("pivot"), F.count("*").alias("classes"), F.bool_or(first_half).alias("open"))
     pivots = pivots.filter("classes > 1 and open").select("token", "pivot")
-    buckets = materialize(entries.join(pivots, "token"), "jaccard-buckets")
+    folded = [reduce(lambda a, b: a.bitwiseXOR(b), [F.col("sketch")[j] for j in range(i, SKETCH // 64, QUICK)]).alias(f"q{i}") for i in range(QUICK)]
+    buckets = materialize(entries.join(pivots, "token").join(sketches.select("cid", *folded), "cid"), "jaccard-buckets")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Pairs whose sketches differ in no more bits than linked sets may differ in shingles."""
         for side in "ab":
             pairs = pairs.join(sketches.select(F.col("cid").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
         bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        may_differ = F.floor((F.col("na") + F.col("nb")) * F.lit(den - num) / F.lit(den + num) + F.lit(1e-9))
-        return pairs.filter(bits <= may_differ).select("a", "b", "na", "nb")
+        return pairs.filter(bits <= _may_differ(num, den, F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
 
     def ordered(candidates: DataFrame) -> DataFrame:
         return candidates.select(
@@ -225,11 +236,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     roots = materialize(connected_components(links), "jaccard-roots")
 
     # what the pivots left apart: one end outside of the pivot's component, the other anywhere else
-    rooted = roots.select(F.col("node").alias("cid"), "root")
+    rooted = broadcast_if_small(roots.select(F.col("node").alias("cid"), "root"))
+    pivot_rooted = broadcast_if_small(roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")))
     placed = buckets.join(rooted, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    placed = placed.join(rooted.select(F.col("cid").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left")
+    placed = placed.join(pivot_rooted, "pivot", "left")
     placed = placed.withColumn("outside", F.col("root") != F.coalesce("pivot_root", "pivot"))
-    placed = materialize(placed.select("token", "cid", "n", "pos", "root", "outside"), "jaccard-placed")
+    placed = materialize(placed.select("token", "cid", "n", "pos", "root", "outside", *[f"q{i}" for i in range(QUICK)]), "jaccard-placed")
     once = ~F.col("y.outside") | (F.col("x.cid") < F.col("y.cid"))
     found = placed.filter("outside").alias("x").join(placed.alias("y"), "token")
     found = found.filter((F.col("x.root") != F.col("y.root")) & once & _possible(num, den))
