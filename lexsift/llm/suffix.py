@@ -1,11 +1,12 @@
 """Operator 6: exact removal of repeated byte strings with suffix arrays.
 
-Equal strings of LENGTH bytes hold the same anchor: the least hash of the GRAM-byte strings in them.
-So strings that repeat meet where their anchor meets, and only anchors that occur twice are looked
-at. Around these, fragments are cut from the documents; fragments of equal content are merged to the
-earliest, and the different ones around an anchor are sorted: a two-stage suffix array (suffixes
-smaller than their successors are sorted directly, the others follow from them by scanning the
-buckets of first bytes), whose neighbours' common prefixes show every string that repeats.
+Equal strings of LENGTH bytes have the same anchor: the least hash of the GRAM-byte strings in them.
+Neighbouring strings mostly share it, so a document is cut into fragments, each with all the strings
+of one anchor. Strings that repeat meet where their anchor meets. Fragments of equal content are
+resolved to the earliest by fingerprint, and the different ones of an anchor are sorted: a two-stage
+suffix array (suffixes smaller than their successors are sorted directly, the others follow from them
+by scanning the buckets of first bytes), whose neighbours' common prefixes show every string that
+repeats.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from .common import broadcast_if_small, materialize
 from .textkernel import BYTE_BITS, FOLDED_BITS, mix, slices, span_hashes
 
 LENGTH, GRAM = 100, 32
-#: Anchors a string can hold; a fragment reaches this far before its anchor.
+#: Places of a gram in a string, less one.
 REACH = LENGTH - GRAM
+#: Strings of a fragment at most; only periodic text has longer runs of one anchor.
+LONGEST = 128
 
 
 def _gram_hashes(buf: np.ndarray) -> np.ndarray:
@@ -45,43 +48,55 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return x if size == width else pick(x[: len(x) - (width - size)], x[width - size :])
 
 
-def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of every gram that is the least of some string of LENGTH bytes of one row."""
+def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first string, last string, anchor, whether strings may repeat within) of every run of neighbouring strings of one anchor.
+
+    Strings are LENGTH bytes within a row, named by their starts; the anchor is the least hash of the
+    grams in them. Each string is in one run, and runs are of at most LONGEST strings. Strings of one
+    run can only be equal where the anchor stands twice in a row among the grams that are any
+    string's least.
+    """
     none = np.zeros(0, np.int64)
     if len(buf) < LENGTH:
-        return none, none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none.astype(bool)
     h = _gram_hashes(buf)
-    n_strings = len(buf) - LENGTH + 1
     least = _sliding(h, REACH + 1, np.minimum)
-    # strings that reach into the next row count for nothing: no gram equals their least
-    for end in offs[1:-1].tolist():
+    for end in offs[1:-1].tolist():  # strings that reach into the next row are none
         least[max(0, end - LENGTH + 1) : end] = 0
-    wide = np.zeros(n_strings + 2 * REACH, np.uint64)
-    wide[REACH : REACH + n_strings] = least
-    most = _sliding(wide, REACH + 1, np.maximum)  # over the strings that hold the gram
-    at = np.flatnonzero((most[: len(h)] == h) & (h > 0))
-    return at, h[at]
+    first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    size = np.diff(np.append(first, len(least)))
+    more = np.repeat(np.arange(len(first)), -(-size // LONGEST))
+    step = np.arange(len(more)) - np.searchsorted(more, more)
+    start = first[more] + step * LONGEST
+    last = np.minimum(start + LONGEST, first[more] + size[more]) - 1
+    real = least[start] > 0
+    start, last = start[real], last[real]
+    wide = np.zeros(len(least) + 2 * REACH, np.uint64)
+    wide[REACH : REACH + len(least)] = least
+    chosen = np.flatnonzero(_sliding(wide, REACH + 1, np.maximum)[: len(h)] == h)
+    twice = chosen[:-1][h[chosen[1:]] == h[chosen[:-1]]]
+    after = np.append(twice, len(h) + LENGTH)[np.searchsorted(twice, start)]
+    return start, last, least[start], after <= last + REACH
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each anchor: 32 bits of its hash, and the fragment around it by hash and place. The
-    fragment has every string of its row that holds the anchor."""
+    """A row for each run of strings: 32 bits of its anchor, and the fragment of its bytes by hash and place."""
     for batch in batches:
-        for first, buf, offs in slices(batch.column("text")):
-            at, h = anchors(buf, offs)
-            row = np.searchsorted(offs, at, "right") - 1
-            low, high = np.maximum(at - REACH, offs[row]), np.minimum(at + LENGTH, offs[row + 1])
+        for first, buf, offs in slices(batch.column("text"), 1 << 19):
+            start, last, h, again = anchors(buf, offs)
+            row = np.searchsorted(offs, start, "right") - 1
             part = batch.slice(first, len(offs) - 1)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                    pa.array(span_hashes(buf, low, high).view(np.int64) if len(at) else np.zeros(0, np.int64)),
+                    pa.array(span_hashes(buf, start, last + LENGTH).view(np.int64) if len(start) else np.zeros(0, np.int64)),
                     part.column("doc_id").take(pa.array(row)),
                     part.column("row_id").take(pa.array(row)),
-                    pa.array((low - offs[row]).astype(np.int32)),
-                    pa.array((high - low).astype(np.int32)),
+                    pa.array((start - offs[row]).astype(np.int32)),
+                    pa.array((last - start + LENGTH).astype(np.int32)),
+                    pa.array(again),
                 ],
-                ["anchor", "fragment", "doc_id", "row_id", "start", "size"],
+                ["anchor", "fragment", "doc_id", "row_id", "start", "size", "again"],
             )
 
 
@@ -347,7 +362,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, bucket_fragments: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, bucket_fragments: int = 2048) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed) of every row of ``docs`` (doc_id, text).
 
     A byte is removed when a string of 100 bytes that covers it also starts earlier: in a smaller
@@ -361,19 +376,19 @@ def remove_repeats(docs: DataFrame, bucket_fragments: int = 4096) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    schema = "anchor int, fragment long, doc_id long, row_id long, start int, size int"
+    schema = "anchor int, fragment long, doc_id long, row_id long, start int, size int, again boolean"
     found = numbered.mapInArrow(_anchors, schema)
     # one shuffle by anchor: equal fragments in order of place, how many there are, and how many differ
     place = (F.col("doc_id").asc_nulls_first(), "row_id", "start")
     order = Window.partitionBy("anchor").orderBy("fragment", *place)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     new = F.coalesce(F.lag("fragment").over(order) != F.col("fragment"), F.lit(True))
-    marked = found.withColumn("first", new).withColumn("n", F.count("*").over(whole)).filter("n > 1")
-    marked = marked.withColumn("kinds", F.sum(F.col("first").cast("int")).over(whole)).filter("kinds > 1 or not first")
+    marked = found.withColumn("first", new).withColumn("n", F.count("*").over(whole)).filter("n > 1 or again")
+    marked = marked.withColumn("kinds", F.sum(F.col("first").cast("int")).over(whole)).filter("kinds > 1 or again or not first")
     marked = materialize(marked.drop("fragment", "n"), "repeated-anchors")
     # of equal fragments all but the earliest go whole; different ones around an anchor are sorted
     copies = marked.filter("not first").select("row_id", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("end"))
-    different = marked.filter("first and kinds > 1")
+    different = marked.filter("first and (kinds > 1 or again)")
     hot = max(2, bucket_fragments // 4)
     totals = different.agg(*[F.sum(F.when(c, 1)).alias(name) for name, c in (("cold", F.col("kinds") <= hot), ("hot", F.col("kinds") > hot))]).first()
     cold_buckets, hot_buckets = (max(1, -(-(totals[c] or 0) // bucket_fragments)) for c in ("cold", "hot"))

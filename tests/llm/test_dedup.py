@@ -29,19 +29,21 @@ def test_suffix_array_sorts():
             assert min(same, 50) == share[k] or same == min(len(a), len(b))
 
 
-def test_every_string_holds_its_anchor():
+def test_equal_strings_have_equal_anchors():
     rng = random.Random(2)
     a = "".join(rng.choice("abcd ") for _ in range(400))
-    raw = (a + a[50:300] + "x" * 150).encode()
-    buf = np.frombuffer(raw, np.uint8)
-    at, h = suffix.anchors(buf, np.array([0, len(buf)]))
-    found = dict(zip(at.tolist(), h.tolist(), strict=True))
-    for i in range(len(raw) - 99):
-        assert any(j in found for j in range(i, i + suffix.REACH + 1))
+    raw = (a + a[50:300] + "x" * 450 + "z").encode()
+    offs = np.array([0, 300, len(raw)])
+    first, last, h, again = suffix.anchors(np.frombuffer(raw, np.uint8), offs)
+    of = {i: anchor for a, z, anchor in zip(first.tolist(), last.tolist(), h.tolist(), strict=True) for i in range(a, z + 1)}
+    assert sorted(of) == [i for i in range(len(raw) - 99) if not i < 300 < i + 100]
+    assert (last - first).max() < suffix.LONGEST
+    for a, z, may in zip(first.tolist(), last.tolist(), again.tolist(), strict=True):
+        assert may or len({raw[i : i + 100] for i in range(a, z + 1)}) == z - a + 1
+    assert 0 < again.sum() < 10
     same = {}
-    for i in range(len(raw) - 99):
-        inside = frozenset(found[j] for j in range(i, i + suffix.REACH + 1) if j in found and found[j] == min(found.get(k, 1 << 64) for k in range(i, i + suffix.REACH + 1)))
-        assert same.setdefault(raw[i : i + 100], inside) == inside
+    for i, anchor in of.items():
+        assert same.setdefault(raw[i : i + 100], anchor) == anchor
 
 
 def plain_removal(docs):
