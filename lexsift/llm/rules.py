@@ -4,8 +4,8 @@ Counts of words, symbols and repeats decide first. What passes is judged line by
 conditional random field of two labels, content and boilerplate, is decoded by Viterbi over the lines
 that hold a word, and the share of words in content lines decides.
 
-The field is trained here on a bounded sample of documents whose lines get weak labels (symbols,
-repeats within the document, lines that many sampled documents share); its weights are drawn towards
+The field is trained here on a bounded sample of documents whose lines get weak labels (symbols, few
+letters, capitals, exclamation marks, repeats within the document); its weights are drawn towards
 plain prior weights, which hold alone where there is nothing to learn from.
 """
 
@@ -29,9 +29,9 @@ _IS_LETTER = ((_byte >= 65) & (_byte <= 90)) | ((_byte >= 97) & (_byte <= 122))
 _IS_UPPER = (_byte >= 65) & (_byte <= 90)
 _IS_DIGIT = (_byte >= 48) & (_byte <= 57)
 
-FEATURES = ("bias", "symbols", "few letters", "capitals", "digits", "repeated", "short", "long words", "ends a sentence", "exclaims")
+FEATURES = ("bias", "symbols", "few letters", "capitals", "digits", "repeated", "short", "long words", "ends a sentence", "exclaims", "length")
 #: Prior weights of the label boilerplate against content, and the transitions (from, to).
-PRIOR = np.array([-1.5, 12.0, 6.0, 3.0, 4.0, 3.0, 0.5, 1.0, -0.5, 2.0])
+PRIOR = np.array([-1.5, 5.0, 6.0, 3.0, 4.0, 3.0, 0.5, 1.0, -0.5, 2.0, -3.0])
 PRIOR_MOVES = np.array([[0.5, -0.5], [-0.5, 0.5]])
 
 
@@ -78,7 +78,7 @@ class Lines:
         self.features = np.stack(
             (
                 np.ones(len(keep)),
-                symbols,
+                np.minimum(symbols / 0.1, 1),
                 np.maximum(0, 0.7 - letters),
                 share(_IS_UPPER) > 0.5,
                 share(_IS_DIGIT),
@@ -87,6 +87,7 @@ class Lines:
                 np.minimum(np.maximum(ink / self.n_words - 12, 0) / 12, 1),
                 np.isin(last, (33, 46, 63)),
                 share(_byte == 33) > 0.05,
+                np.minimum(self.n_words / 40, 1),
             ),
             1,
         ).astype(np.float64)
@@ -174,8 +175,7 @@ def _sample_lines(most_lines: int):
                 part = batch.slice(first, len(offs) - 1)
                 width = lines.features.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("h"), list_array(lines.hash[keep].view(np.int64), bounds, pa.int64()), list_array(lines.features[keep].ravel(), bounds * width, pa.float64())],
-                    ["h", "line", "x"],
+                    [part.column("h"), list_array(lines.features[keep].ravel(), bounds * width, pa.float64())], ["h", "x"]
                 )
 
     return sample
@@ -184,16 +184,16 @@ def _sample_lines(most_lines: int):
 def fit(docs: DataFrame, sample: int = 2000, most_lines: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """The field, from the first ``most_lines`` lines of ``sample`` documents chosen by hash of the id."""
     picked = bounded_sample(docs, docs.count(), sample, "doc_id", "text").select(F.xxhash64("doc_id").alias("h"), "text")
-    got = picked.mapInArrow(_sample_lines(most_lines), "h long, line array<long>, x array<double>").toArrow()
-    hashes = got.column("line").combine_chunks()
-    if not len(hashes):
+    got = picked.mapInArrow(_sample_lines(most_lines), "h long, x array<double>").toArrow()
+    width = len(FEATURES)
+    flat = got.column("x").combine_chunks()
+    if not len(flat):
         return PRIOR.copy(), PRIOR_MOVES.copy()
-    row = np.repeat(np.arange(got.num_rows), np.diff(hashes.offsets.to_numpy()))
-    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(len(row), len(FEATURES))
-    _, back, count = np.unique(hashes.flatten().to_numpy(), return_inverse=True, return_counts=True)
-    shared = count[back] >= max(4, got.num_rows // 200)
-    symbols, few_letters, repeated = x[:, 1] >= 0.1, x[:, 2] > 0.2, x[:, 5] > 0
-    y = (symbols | few_letters | repeated | shared).astype(np.int64)
+    row = np.repeat(np.arange(got.num_rows), np.diff(flat.offsets.to_numpy()) // width)
+    x = flat.flatten().to_numpy().reshape(len(row), width)
+    symbols, few_letters, repeated = x[:, 1] >= 0.4, x[:, 2] > 0.2, x[:, 5] > 0
+    capitals, exclaims = x[:, 3] > 0, x[:, 9] > 0
+    y = (symbols | few_letters | repeated | capitals | exclaims).astype(np.int64)
     return train_field(row, x, y)
 
 
