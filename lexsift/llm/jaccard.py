@@ -30,6 +30,8 @@ LEAST_SEEN = 4
 #: Bits of a set's sketch: each shingle turns over one bit. Sketches differ in no more bits than the
 #: sets differ in shingles, which rules most pairs out before their segments are counted.
 SKETCH = 1024
+#: Sets of so many shingles have a wider sketch, which folds to the other size.
+LARGE, WIDE_SKETCH = 1000, 4096
 #: The sketch folded to four numbers, which go with the bucket entries.
 QUICK = 4
 
@@ -88,7 +90,7 @@ def _signatures(shared, k: int, num: int, den: int):
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         for batch in batches:
-            for first, buf, offs in slices(batch.column("text"), most_rows=2048):
+            for first, buf, offs in slices(batch.column("text"), most_rows=512):
                 values, bounds = _sets(buf, offs, k)
                 n_rows, n = len(offs) - 1, np.diff(bounds)
                 row = np.repeat(np.arange(n_rows), n)
@@ -101,9 +103,13 @@ def _signatures(shared, k: int, num: int, den: int):
                 for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
                     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values ^ np.uint64(salt)), dtype=np.uint64)))
                     digest.append((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64))
-                turned = (mix(values ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(SKETCH)).astype(np.int64)
-                odd = np.bincount(row * SKETCH + turned, minlength=n_rows * SKETCH).astype(np.uint8) & 1
-                sketch = np.packbits(odd).view(np.int64)
+                turned = (mix(values ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(WIDE_SKETCH)).astype(np.int64)
+                odd = np.bincount(row * WIDE_SKETCH + turned, minlength=n_rows * WIDE_SKETCH).astype(np.uint8) & 1
+                wide = np.packbits(odd).view(np.int64).reshape(n_rows, WIDE_SKETCH // 64)
+                narrow = np.bitwise_xor.reduce(wide.reshape(n_rows, -1, SKETCH // 64), axis=1)
+                parts = [w if large else s for w, s, large in zip(wide, narrow, n >= LARGE, strict=True)]
+                sketch = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+                ends = np.cumsum(np.where(n >= LARGE, WIDE_SKETCH // 64, SKETCH // 64))
                 part = batch.slice(first, n_rows)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -113,7 +119,7 @@ def _signatures(shared, k: int, num: int, den: int):
                         pa.array(np.bincount(row[place == 0], minlength=n_rows).astype(np.int64)),
                         *map(pa.array, digest),
                         list_array(values[order][kept].view(np.int64), np.concatenate(([0], np.cumsum(length))), pa.int64()),
-                        list_array(sketch, np.arange(n_rows + 1) * (SKETCH // 64), pa.int64()),
+                        list_array(sketch, np.concatenate(([0], ends)), pa.int64()),
                     ],
                     ["row_id", "doc_id", "n", "rare", "d1", "d2", "prefix", "sketch"],
                 )
@@ -164,6 +170,13 @@ def _need(num: int, den: int, n):
     return F.ceil(n * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
 
 
+def _narrow(sketch):
+    """A sketch in the smaller size."""
+    words, step = WIDE_SKETCH // 64, SKETCH // 64
+    folded = F.array(*[reduce(lambda a, b: a.bitwiseXOR(b), [F.get(sketch, F.lit(j)) for j in range(i, words, step)]) for i in range(step)])
+    return F.when(F.size(sketch) == words, folded).otherwise(sketch)
+
+
 def _may_differ(num: int, den: int, n):
     """In how many shingles the sets of a linked pair may differ at most."""
     return F.floor(n * F.lit(den - num) / F.lit(den + num) + F.lit(1e-9))
@@ -212,14 +225,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     first_half = F.col("n") - F.col("pos") >= _need(num, den, 2 * F.col("n"))
     pivots = entries.groupBy("token").agg(F.min("cid").alias("pivot"), F.count("*").alias("classes"), F.bool_or(first_half).alias("open"))
     pivots = pivots.filter("classes > 1 and open").select("token", "pivot")
-    folded = [reduce(lambda a, b: a.bitwiseXOR(b), [F.col("sketch")[j] for j in range(i, SKETCH // 64, QUICK)]).alias(f"q{i}") for i in range(QUICK)]
-    buckets = materialize(entries.join(pivots, "token").join(sketches.select("cid", *folded), "cid"), "jaccard-buckets")
+    folded = [reduce(lambda a, b: a.bitwiseXOR(b), [F.col("narrow")[j] for j in range(i, SKETCH // 64, QUICK)]).alias(f"q{i}") for i in range(QUICK)]
+    buckets = materialize(entries.join(pivots, "token").join(sketches.withColumn("narrow", _narrow(F.col("sketch"))).select("cid", *folded), "cid"), "jaccard-buckets")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Pairs whose sketches differ in no more bits than linked sets may differ in shingles."""
         for side in "ab":
             pairs = pairs.join(sketches.select(F.col("cid").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
-        bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        same = F.size("sketch_a") == F.size("sketch_b")
+        sides = [F.when(same, F.col(c)).otherwise(_narrow(F.col(c))) for c in ("sketch_a", "sketch_b")]
+        bits = F.aggregate(F.zip_with(*sides, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         return pairs.filter(bits <= _may_differ(num, den, F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
 
     def ordered(candidates: DataFrame) -> DataFrame:
