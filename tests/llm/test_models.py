@@ -89,6 +89,17 @@ def test_ppm_scores_whole_texts(spark, trained):
     assert abs(got[10] - trie.log10(keys).sum()) < 1e-4
 
 
+@pytest.mark.parametrize("most", [3, 200, 1200])
+def test_ppm_leaves_no_string_out(odd_docs, most):
+    """However few strings are sent out, every string counts."""
+    docs, learned = odd_docs.filter("doc_id <> 7 or doc_id is null"), fold(F.col("doc_id")) != 1
+    whole = lm.score_documents(docs, learned).collect()
+    got = lm.score_documents(docs, learned, max_nodes=most).collect()
+    plain = lambda rows: sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["score"]) for r in rows)
+    for a, b in zip(plain(whole), plain(got), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-4
+
+
 def test_nothing_to_learn_from(spark, odd_docs, no_docs):
     got = lm.score_documents(odd_docs, F.lit(False)).collect()
     assert len(got) == odd_docs.count() and all(r["n_known"] == 0 == r["train_tokens"] for r in got)
