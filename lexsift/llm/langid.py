@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .textkernel import slices
 
 BITS = 16
+#: Languages whose counts a task holds, or the driver fetches, at once.
+HELD = 64
 #: Letters stay (bytes of other scripts as they are, A-Z folded); all else is a space.
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -68,24 +70,26 @@ def _count(most: int):
     return count
 
 
-def train(docs: DataFrame, max_languages: int = 64, smoothing: float = 0.1) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, smoothing: float = 0.1) -> tuple[list[str], np.ndarray]:
     """(languages in order, log likelihood of each bucket in each).
 
-    Counts cover all rows of ``docs`` (text, lang); ``max_languages`` bounds the model that is sent
-    to executors, by the most trigrams.
+    Counts cover all rows of ``docs`` (text, lang), and every lang value is a language of the model,
+    which takes 256 KB for each.
     """
-    counts = docs.select("text", "lang").mapInArrow(_count(max_languages), "lang string, bucket int, n long")
+    counts = docs.select("text", "lang").mapInArrow(_count(HELD), "lang string, bucket int, n long")
     counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).persist()
-    kept = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    langs = sorted(r["lang"] for r in kept)
-    got = counts.filter(F.col("lang").isin(langs)).toArrow() if langs else None
-    counts.unpersist()
-    table = np.full((1 << BITS, len(langs)), smoothing)
-    if got is not None:
-        place = {lang: i for i, lang in enumerate(langs)}
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    table = np.empty((1 << BITS, len(langs)), np.float32)
+    for first in range(0, len(langs), HELD):
+        some = langs[first : first + HELD]
+        got = counts.filter(F.col("lang").isin(some)).toArrow()
+        place = {lang: i for i, lang in enumerate(some)}
         columns = np.array([place[x] for x in got.column("lang").to_pylist()], np.int64)
-        np.add.at(table, (got.column("bucket").to_numpy(), columns), got.column("n").to_numpy())
-    return langs, np.log(table / table.sum(0)).astype(np.float32)
+        part = np.full((1 << BITS, len(some)), smoothing)
+        np.add.at(part, (got.column("bucket").to_numpy(), columns), got.column("n").to_numpy())
+        table[:, first : first + len(some)] = np.log(part / part.sum(0))
+    counts.unpersist()
+    return langs, table
 
 
 def _mixture(likelihood: np.ndarray, counts: np.ndarray, starts: np.ndarray, row: np.ndarray, share: np.ndarray, turns: int) -> np.ndarray:
@@ -97,8 +101,12 @@ def _mixture(likelihood: np.ndarray, counts: np.ndarray, starts: np.ndarray, row
     return share
 
 
-def proportions(row: np.ndarray, bucket: np.ndarray, n_rows: int, table: np.ndarray, most: int = 3, turns: int = 12) -> np.ndarray:
-    """Each row's language proportions (rows of no trigrams: all 0)."""
+def proportions(row: np.ndarray, bucket: np.ndarray, n_rows: int, table: np.ndarray, turns: int = 12) -> np.ndarray:
+    """Each row's language proportions (rows of no trigrams: all 0).
+
+    Sets take languages in order of their share in the mixture of all. They grow as long as a bound
+    on the likelihood of any mixture leaves room for a better one.
+    """
     n_langs = table.shape[1]
     out = np.zeros((n_rows, n_langs))
     if not len(row) or not n_langs:
@@ -116,18 +124,30 @@ def proportions(row: np.ndarray, bucket: np.ndarray, n_rows: int, table: np.ndar
     score = single.max(1)
     chosen = np.eye(n_langs)[best]
     if n_langs > 1:
-        offset = np.add.reduceat(top * counts, starts)
-        penalty = np.log(np.maximum(np.add.reduceat(counts, starts), 2)) / 2
+        offset, total = np.add.reduceat(top * counts, starts), np.add.reduceat(counts, starts)
+        penalty = np.log(np.maximum(total, 2)) / 2
         full = _mixture(likelihood, counts, starts, row, np.full((len(present), n_langs), 1 / n_langs), turns)
         order = np.argsort(-full, axis=1, kind="stable")
-        for size in range(2, min(most, n_langs) + 1):
-            share = np.zeros_like(full)
-            np.put_along_axis(share, order[:, :size], np.take_along_axis(full, order[:, :size], 1) + 1e-9, 1)
-            share = _mixture(likelihood, counts, starts, row, share / share.sum(1, keepdims=True), turns // 2)
-            mixed = np.add.reduceat(np.log((likelihood * share[row]).sum(1)) * counts, starts) + offset - (size - 1) * penalty
-            better = mixed > score
-            score[better] = mixed[better]
-            chosen[better] = share[better]
+        # no mixture is likelier than this one by more than log of its largest gradient a trigram (Jensen)
+        mixed = (likelihood * full[row]).sum(1)
+        slope = np.add.reduceat(likelihood * (counts / mixed)[:, None], starts, axis=0).max(1) / total
+        bound = np.add.reduceat(np.log(mixed) * counts, starts) + offset + total * np.log(np.maximum(slope, 1))
+        lengths = np.diff(np.append(starts, len(row)))
+        for size in range(2, n_langs + 1):
+            left = bound - (size - 1) * penalty > score
+            rows, at = np.flatnonzero(left), np.flatnonzero(left[row])
+            if not len(rows):
+                break
+            own, own_starts = np.repeat(np.arange(len(rows)), lengths[rows]), np.cumsum(lengths[rows]) - lengths[rows]
+            langs = order[rows, :size]
+            part = likelihood[at[:, None], langs[own]]
+            share = np.take_along_axis(full[rows], langs, 1) + 1e-9
+            share = _mixture(part, counts[at], own_starts, own, share / share.sum(1, keepdims=True), turns // 2)
+            mixed = np.add.reduceat(np.log((part * share[own]).sum(1)) * counts[at], own_starts) + offset[rows] - (size - 1) * penalty[rows]
+            better = mixed > score[rows]
+            score[rows[better]] = mixed[better]
+            chosen[rows[better]] = 0
+            chosen[rows[better][:, None], langs[better]] = share[better]
     out[present] = chosen
     return out
 
@@ -145,7 +165,7 @@ def _predict(shared):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = shared.value
         for batch in batches:
-            for first, buf, offs in slices(batch.column("text"), 1 << 20):
+            for first, buf, offs in slices(batch.column("text"), min(1 << 20, (1 << 23) // max(1, len(langs)))):
                 row, bucket = trigrams(buf, offs)
                 share = proportions(row, bucket, len(offs) - 1, table)
                 known = _has_letter(buf, offs) & (share.sum(1) > 0) if langs else np.zeros(len(offs) - 1, bool)
@@ -169,7 +189,7 @@ def _predict(shared):
     return predict
 
 
-def identify_languages(docs: DataFrame, in_training: Column, max_languages: int = 64) -> DataFrame:
+def identify_languages(docs: DataFrame, in_training: Column) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): doc_id, lang_pred, score, languages.
 
     Trained on the rows with a lang where ``in_training`` holds. ``languages`` has the chosen set
@@ -178,7 +198,7 @@ def identify_languages(docs: DataFrame, in_training: Column, max_languages: int
     sorts first. Null ids and repeated rows are scored like others, other columns are ignored, an
     empty table gives an empty table; texts are used whole.
     """
-    langs, table = train(docs.filter(F.coalesce(in_training, F.lit(False)) & F.col("lang").isNotNull()), max_languages)
+    langs, table = train(docs.filter(F.coalesce(in_training, F.lit(False)) & F.col("lang").isNotNull()))
     shared = docs.sparkSession.sparkContext.broadcast((langs, table))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _predict(shared), "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>"

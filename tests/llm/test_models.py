@@ -144,6 +144,19 @@ def test_language_mixtures(spark, some):
     assert abs(sum(x["share"] for x in got["languages"]) - 1) < 1e-6
 
 
+def test_all_languages_and_large_sets(spark):
+    """More than 64 languages, the small ones too, and a text in five of them."""
+    rng = random.Random(8)
+    vocabulary = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for _ in range(80)]
+    say = lambda i, n: " ".join(rng.choice(vocabulary[i]) for _ in range(n))
+    rows = [(i, say(i, 40 if i % 2 else 80), f"l{i:02}") for i in range(80)]
+    rows += [(100 + i, say(i, 30), None) for i in range(80)]
+    rows += [(-1, " ".join(say(i, 60) for i in (1, 2, 30, 55, 79)), None)]
+    got = {r["doc_id"]: r for r in identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") < 100).collect()}
+    assert all(got[100 + i]["lang_pred"] == f"l{i:02}" for i in range(80))
+    assert {x["lang"] for x in got[-1]["languages"]} == {"l01", "l02", "l30", "l55", "l79"}
+
+
 def test_languages_odd(odd_docs):
     got = {r["doc_id"]: r for r in identify_languages(odd_docs, F.lit(True)).collect()}
     assert {got[i]["lang_pred"] for i in (4, 5, 6, 11)} == {"und"} and got[10]["lang_pred"] == "fr"
