@@ -33,18 +33,24 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at the files,
     so a lost executor costs no recomputation. The files go when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def number_rows(df: DataFrame, name: str, tag: str) -> DataFrame:
+    """``df`` with a number for each row, written once: the number of a row depends on how a scan is
+    split, and a later scan may be split otherwise (Spark looks at the cores it has by then)."""
+    return materialize(df.select("*", F.monotonically_increasing_id().alias(name)), tag, "zstd")
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Hint a broadcast only after counting the (materialised) rows; otherwise Spark's own join."""
     return F.broadcast(df) if df.count() <= max_rows else df

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, materialize, number_rows
 from .components import connected_components
 from .textkernel import distinct_sorted, least_count, list_array, merge_counts, mix, shingles, slices, words
 
@@ -205,11 +205,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     a null id. Repeated rows are copies of each other like any others. Texts count whole. Other
     columns are ignored; an empty table gives an empty table.
 
-    row_id numbers the rows of ``docs`` as monotonically_increasing_id does; ``docs`` is read
-    twice and has to give the same rows in the same partitions, as a table read from files does.
+    ``docs`` is read once; row_id is any number that no other row has.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _components(number_rows(given, "row_id", "jaccard-input"), k, num, den)
+
+
+def _components(numbered: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The same of rows (row_id, doc_id, text) that have been written."""
+    shared = numbered.sparkSession.sparkContext.broadcast(frequent_shingles(numbered, k))
     schema = "row_id long, doc_id long, n long, rare long, d1 long, d2 long, prefix array<long>, sketch array<long>"
     signed = materialize(numbered.mapInArrow(_signatures(shared, k, num, den), schema), "jaccard-signatures")
     classes = signed.filter("n > 0").groupBy("n", "rare", "d1", "d2").agg(F.min("doc_id").alias("least"), F.min("row_id").alias("row_id"))
@@ -276,10 +280,11 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
 
     A row without shingles, or with no id in its component, counts as a component of its own.
     """
-    found = materialize(jaccard_components(docs, k, num, den), "jaccard-found")
+    numbered = number_rows(docs, "jaccard_row", "jaccard-input")
+    given = numbered.select(F.col("jaccard_row").alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = materialize(_components(given, k, num, den), "jaccard-found")
     alone = (F.col("n_shingles") == 0) | F.col("component_id").isNull()
     leaders = found.filter(~alone & (F.col("doc_id") == F.col("component_id"))).groupBy("component_id").agg(F.min("row_id").alias("row_id"))
     dropped = materialize(found.filter(~alone).select("row_id").join(leaders.select("row_id"), "row_id", "left_anti"), "jaccard-dropped")
-    numbered = docs.withColumn("jaccard_row", F.monotonically_increasing_id())
     gone = broadcast_if_small(dropped.select(F.col("row_id").alias("jaccard_row")))
     return numbered.join(gone, "jaccard_row", "left_anti").select(*docs.columns)

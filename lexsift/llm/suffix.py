@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, materialize, number_rows
 from .textkernel import BYTE_BITS, FOLDED_BITS, mix, slices, span_hashes
 
 LENGTH, GRAM = 100, 32
@@ -371,11 +371,11 @@ def remove_repeats(docs: DataFrame, bucket_fragments: int = 2048) -> DataFrame:
     comes before all others; rows of one doc_id follow each other in the order of their rows. Long
     texts count whole; other columns are ignored; an empty table gives an empty table.
 
-    ``docs`` is read twice and has to give the same rows in the same partitions, as a table read
-    from files does.
+    ``docs`` is read once.
     """
     text = F.coalesce("text", F.lit(""))
-    numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    numbered = number_rows(given, "row_id", "repeats-input").select("row_id", "doc_id", "text")
     schema = "anchor int, fragment long, doc_id long, row_id long, start int, size int, again boolean"
     found = numbered.mapInArrow(_anchors, schema)
     # one shuffle by anchor: equal fragments in order of place, how many there are, and how many differ

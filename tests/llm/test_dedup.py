@@ -6,10 +6,11 @@ import random
 import numpy as np
 import pytest
 
-from lexsift.llm import suffix
+from lexsift.llm import jaccard, suffix
 from lexsift.llm.common import materialize
 from lexsift.llm.components import connected_components
 from lexsift.llm.jaccard import jaccard_components, one_of_each
+from lexsift.llm.suffix import remove_repeats
 
 from .conftest import prose
 
@@ -161,3 +162,33 @@ def test_components_of_a_long_path(spark):
     got = {r["node"]: r["root"] for r in connected_components(links).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {100: 100, 101: 100, 102: 100}
     assert connected_components(links.filter("false")).count() == 0
+
+
+@pytest.fixture
+def shifting(spark, monkeypatch):
+    """Documents whose files are split otherwise at every later scan."""
+    rng = random.Random(11)
+    texts = [prose(rng, 60) for _ in range(40)]
+    texts[20:30] = texts[:10]
+    docs = materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9, "doc_id"), "shifting")
+    name, turn = "spark.sql.files.maxPartitionBytes", [0]
+
+    def write(*args):
+        out = materialize(*args)
+        turn[0] += 1
+        spark.conf.set(name, "64k" if turn[0] % 2 else "128m")
+        return out
+
+    for module in (suffix, jaccard):
+        monkeypatch.setattr(module, "materialize", write)
+    spark.conf.set(name, "128m")
+    yield docs
+    spark.conf.unset(name)
+
+
+def test_rows_keep_their_numbers(shifting):
+    kept = one_of_each(shifting).collect()
+    assert sorted(r["doc_id"] for r in kept) == [*range(20), *range(30, 40)]
+    want = plain_removal([(r["doc_id"], r["text"].encode()) for r in shifting.orderBy("doc_id").collect()])
+    got = remove_repeats(shifting).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
