@@ -39,8 +39,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its secrets become a mark, and n_chars follows the text."""
     columns = [c for c in docs.columns if c not in ("text", "n_chars")]
-    clean = scan_secrets(docs).withColumn("clean", redact(F.col("text"), F.col("secret_spans")))
-    chars = F.when(F.size("secret_spans") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars"))
+    clean = scan_secrets(docs).withColumn("clean", redact(F.col("text"), F.col("secret_all")))
+    chars = F.when(F.size("secret_all") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars"))
     found = {"text": F.col("clean"), "n_chars": chars} | {c: F.col(c) for c in columns}
     return clean.select(*[found[c].alias(c) for c in docs.columns])
 

@@ -127,11 +127,12 @@ def _with_kind(spans: Column, rank: int) -> Column:
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``secret_base`` and ``secret_spans``: arrays of (start, rank, end) in order.
+    """``docs`` with ``secret_base``, ``secret_spans`` and ``secret_all``: arrays of (start, rank, end) in order.
 
     Positions are code points, the end is exclusive; rank 0, 1, 2 stand for the base kinds assign,
     access and hex, 3 for a string found by its entropy. Such a string never overlaps a base span,
-    and base spans are never dropped. Null or empty text: no spans. Every other column, of whatever
+    and base spans are never dropped. ``secret_all`` has the strings that overlap base spans as well
+    (an access key joined to its secret key is one string): what has to be blanked out. Null or empty text: no spans. Every other column, of whatever
     name, passes through; repeated rows are each scanned; an empty table gives an empty table.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -158,9 +159,9 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", window: int = WINDOW)
         F.col("secret_found"),
         lambda s: ~F.exists(F.col("secret_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
-    return out.withColumn("secret_spans", F.array_sort(F.concat("secret_base", _with_kind(free, len(BASE))))).drop(
-        "secret_candidates", "secret_found"
-    )
+    spans = lambda found: F.array_sort(F.concat("secret_base", _with_kind(found, len(BASE))))
+    out = out.withColumns({"secret_spans": spans(free), "secret_all": spans(F.col("secret_found"))})
+    return out.drop("secret_candidates", "secret_found")
 
 
 def spans_text(spans: Column) -> Column:
