@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexsift.llm.common import fold, materialize, table
+from lexsift.llm.common import fold, fresh_name, materialize, table
 from lexsift.llm.jaccard import one_of_each
 from lexsift.llm.mixing import mix_documents
 from lexsift.llm.packing import pack_documents
@@ -27,8 +27,9 @@ ORACLE_SQL = None
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the neighbours' votes mark as good. Null and empty texts are scored like others."""
     labels = table(spark, sf_dir, "labels")
-    scored = score_quality(docs, labels, fold(F.col("doc_id")) != 0, keep=docs.columns)
-    return scored.filter(F.col("quality_score") >= MIN_QUALITY).select(*docs.columns)
+    score = fresh_name(docs, "quality_score")
+    scored = score_quality(docs, labels, fold(F.col("doc_id")) != 0, name=score)
+    return scored.filter(F.col(score) >= MIN_QUALITY).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,17 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Bytes of an Arrow batch, where the session doesn't say.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that go to Python by bytes and not only by rows: texts differ in length
+    by orders of magnitude. A size that the session has been given stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at the files,
     so a lost executor costs no recomputation. The files go when the application ends."""
@@ -45,6 +56,12 @@ def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_1, name_2, ... that ``df`` has no column of; case doesn't count."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if n.lower() not in taken)
+
+
 def number_rows(df: DataFrame, name: str, tag: str) -> DataFrame:
     """``df`` with a number for each row, written once: the number of a row depends on how a scan is
     split, and a later scan may be split otherwise (Spark looks at the cores it has by then)."""

@@ -16,17 +16,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bound_batches, bounded_sample
 from .textkernel import list_array, per_row, slices, words
 
-BUCKETS, RANK, NEIGHBOURS, ROWS = 4096, 48, 15, 512
+BUCKETS, RANK, NEIGHBOURS, ROWS = 4096, 48, 15, 128
 SHAPE_WEIGHT = 0.5
+#: Cosines are compared in steps of this; equal ones go to the smaller doc_id.
+STEP = 2.0**-20
 
 
 def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows x BUCKETS trigram counts, rows x 6 shares)."""
     n, lengths = len(offs) - 1, np.diff(offs)
-    counts = np.zeros((n, BUCKETS), np.float32)
+    counts = np.zeros((n, BUCKETS), np.float64)
     if len(buf) >= 3:
         wide = buf.astype(np.uint32)
         key = wide[:-2] << np.uint32(16) | wide[1:-1] << np.uint32(8) | wide[2:]
@@ -34,7 +36,7 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         row = np.repeat(np.arange(n), lengths)
         same = np.flatnonzero(row[:-2] == row[2:])
         at = row[same] * BUCKETS + bucket[same]
-        counts = np.bincount(at, minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.float32)
+        counts = np.bincount(at, minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.float64)
     size = np.maximum(lengths, 1)
     row, starts, ends, hashes = words(buf, offs, True)
     n_words = np.maximum(np.bincount(row, minlength=n), 1)
@@ -51,7 +53,7 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         np.minimum(np.bincount(row, minlength=n) / 100, 1),
         np.minimum(size / n_words / 20, 1),
     )
-    return counts, np.stack(shares, 1).astype(np.float32)
+    return counts, np.stack(shares, 1)
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,12 +65,13 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = np.searchsorted(at, np.arange(len(counts) + 1))
             yield pa.RecordBatch.from_arrays(
                 [
+                    part.column("doc_id"),
                     part.column("label"),
                     list_array(which, bounds, pa.int32()),
-                    list_array(counts[at, which], bounds, pa.float32()),
-                    list_array(shares.ravel(), np.arange(len(shares) + 1) * shares.shape[1], pa.float32()),
+                    list_array(counts[at, which], bounds, pa.float64()),
+                    list_array(shares.ravel(), np.arange(len(shares) + 1) * shares.shape[1], pa.float64()),
                 ],
-                ["label", "at", "n", "shares"],
+                ["doc_id", "label", "at", "n", "shares"],
             )
 
 
@@ -77,23 +80,23 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 class Space:
-    """The latent-semantic space and the labelled vectors in it."""
+    """The latent-semantic space and the labelled vectors in it, which are in order of their doc_id."""
 
     def __init__(self, counts: np.ndarray, shares: np.ndarray, labels: np.ndarray, weights: np.ndarray):
         n = max(1, len(counts))
-        self.idf = np.log((n + 1) / ((counts > 0).sum(0) + 1)).astype(np.float32) + 1
+        self.idf = np.log((n + 1) / ((counts > 0).sum(0) + 1)) + 1
         x = _unit(np.log1p(counts) * self.idf)
         # randomised range finder with three rounds of subspace iteration
         rng = np.random.default_rng(7)
-        q = rng.standard_normal((x.shape[1], min(RANK + 16, n))).astype(np.float32)
+        q = rng.standard_normal((x.shape[1], min(RANK + 16, n)))
         for _ in range(4):
             q, _ = np.linalg.qr(x.T @ (x @ q))
         _, _, small = np.linalg.svd(x @ q, full_matrices=False)
-        self.axes = (q @ small.T)[:, :RANK].astype(np.float32)
-        self.spread = (shares.std(0) + 0.02).astype(np.float32)
-        self.mean = shares.mean(0).astype(np.float32)
-        self.labels, self.weights = labels.astype(np.float32), weights.astype(np.float32)
-        self.vectors = self.place(counts, shares)
+        self.axes = (q @ small.T)[:, :RANK]
+        self.spread = shares.std(0) + 0.02
+        self.mean = shares.mean(0)
+        self.labels, self.weights = labels.astype(np.float64), weights.astype(np.float64)
+        self.vectors = np.concatenate([self.place(counts[i : i + ROWS], shares[i : i + ROWS]) for i in range(0, n, ROWS)])
 
     def place(self, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
         latent = _unit((np.log1p(counts) * self.idf) @ self.axes)
@@ -101,10 +104,12 @@ class Space:
         return _unit(np.concatenate((latent, shape), 1))
 
     def vote(self, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
-        cosine = self.place(counts, shares) @ self.vectors.T
-        k = min(NEIGHBOURS, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, 1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6) ** 4 * self.weights[near]
+        n = len(self.vectors)
+        cosine = np.rint(self.place(counts, shares) @ self.vectors.T / STEP).astype(np.int64)
+        k = min(NEIGHBOURS, n)
+        rank = np.arange(n) - cosine * n  # no two are equal
+        near = np.sort(np.partition(rank, k - 1, 1)[:, :k], 1) % n
+        weight = np.maximum(np.take_along_axis(cosine, near, 1) * STEP, 1e-6) ** 4 * self.weights[near]
         return (weight * self.labels[near]).sum(1) / weight.sum(1)
 
 
@@ -125,9 +130,11 @@ def fit(docs: DataFrame, labels: DataFrame, in_training: Column, sample: int = 2
     rows = chosen.collect()  # at most 2 * sample ids
     training.unpersist()
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["label"]) for r in rows], "doc_id long, label int")
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    got = picked.select("label", "text").mapInArrow(_sparse, "label int, at array<int>, n array<float>, shares array<float>").toArrow()
-    counts = np.zeros((got.num_rows, BUCKETS), np.float32)
+    # of rows of one id the text that sorts first is learned from, and rows are in order of their ids,
+    # so the space doesn't depend on how the table is partitioned
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    got = picked.mapInArrow(_sparse, "doc_id long, label int, at array<int>, n array<double>, shares array<double>").toArrow().sort_by("doc_id")
+    counts = np.zeros((got.num_rows, BUCKETS))
     at = got.column("at").combine_chunks()
     row = np.repeat(np.arange(got.num_rows), np.diff(at.offsets.to_numpy()))
     counts[row, at.flatten().to_numpy()] = got.column("n").combine_chunks().flatten().to_numpy()
@@ -138,30 +145,28 @@ def fit(docs: DataFrame, labels: DataFrame, in_training: Column, sample: int = 2
 
 
 def _vote(shared):
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vote(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         space = shared.value
-        for batch in batches:
+        for column in columns:
             scores = [np.zeros(0)]
-            for _, buf, offs in slices(batch.column("quality_text"), most_rows=ROWS):
+            for _, buf, offs in slices(column, most_rows=ROWS):
                 scores.append(space.vote(*features(buf, offs)) if space is not None else np.full(len(offs) - 1, 0.5))
-            columns = [batch.column(c) for c in batch.schema.names if c != "quality_text"]
-            names = [c for c in batch.schema.names if c != "quality_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.clip(np.concatenate(scores), 0, 1).astype(np.float64))], [*names, "quality_score"])
+            yield pa.array(np.clip(np.concatenate(scores), 0, 1), pa.float64())
 
     return vote
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, in_training: Column, keep: list[str] | None = None, sample: int = 2048) -> DataFrame:
-    """The ``keep`` columns of ``docs`` (default: doc_id) with quality_score, 0 to 1.
+def score_quality(docs: DataFrame, labels: DataFrame, in_training: Column, sample: int = 2048, name: str = "quality_score") -> DataFrame:
+    """``docs`` (doc_id, text) with a column ``name``, 0 to 1.
 
     Learned from labelled rows where ``in_training`` holds; without any, every score is 0.5. Null
     text is the empty text; both get the vote of the vectors nearest to a text of no trigrams. Null
-    ids, repeated rows and very long texts are scored like others; columns not kept are ignored; an
-    empty table gives an empty table.
+    ids, repeated rows and very long texts (used whole) are scored like others. Of labelled vectors
+    that are equally near, in steps of 2^-20, those of smaller doc_id vote. Scores don't depend on
+    the partitioning. Other columns, of whatever name, pass through and never leave the JVM; a column
+    called ``name`` is replaced. An empty table gives an empty table.
     """
-    keep = ["doc_id"] if keep is None else keep
+    bound_batches(docs.sparkSession)
     space = fit(docs.select("doc_id", "text"), labels, in_training, sample)
     shared = docs.sparkSession.sparkContext.broadcast(space)
-    chosen = docs.select(*keep, F.col("text").alias("quality_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return chosen.mapInArrow(_vote(shared), f"{fields}, quality_score double")
+    return docs.withColumn(name, F.arrow_udf(_vote(shared), "double", F.ArrowUDFType.SCALAR_ITER)(docs["text"]))

@@ -63,7 +63,7 @@ def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = fold(F.col("doc_id")) == 0
     score = F.col("quality_score")
-    scored = score_quality(docs, labels, ~held_out)
+    scored = score_quality(docs.select("doc_id", "text"), labels, ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
 
 

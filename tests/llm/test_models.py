@@ -10,8 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexsift.llm import lm, rules
-from lexsift.llm.common import fold, table
+from lexsift.llm import lm, quality, rules
+from lexsift.llm.common import fold, materialize, table
 from lexsift.llm.langid import identify_languages
 from lexsift.llm.quality import score_quality
 
@@ -122,9 +122,50 @@ def test_quality_held_out(spark, some):
 
 def test_quality_keeps_rows_and_columns(spark, odd_docs):
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (3, 0), (None, 1), (20, None), (21, 0), (99, 1)], "doc_id long, quality int")
-    got = score_quality(odd_docs, labels, F.lit(True), keep=odd_docs.columns)
+    got = score_quality(odd_docs, labels, F.lit(True))
     assert got.columns == [*odd_docs.columns, "quality_score"] and got.count() == odd_docs.count()
     assert all(0 <= r["quality_score"] <= 1 for r in got.collect())
+    own = score_quality(odd_docs, labels, F.lit(True), name="score")  # a column of that name is replaced
+    assert own.columns == odd_docs.columns and sorted(r["score"] for r in own.collect()) == sorted(r["quality_score"] for r in got.collect())
+
+
+def plain_features(text):
+    """Trigram buckets and shares of one text, byte by byte."""
+    raw = (text or "").encode()
+    counts = np.zeros(quality.BUCKETS)
+    for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+        counts[(((a << 16 | b << 8 | c) * 0x9E3779B1) & 0xFFFFFFFF) >> 20] += 1
+    w = [x.lower() for x in re.findall(rb"[^\x20\x09-\x0D]+", raw)]
+    size, n = max(1, len(raw)), max(1, len(w))
+    symbol = sum(32 < x < 48 or 57 < x < 65 or 90 < x < 97 or 122 < x < 128 for x in raw)
+    shares = [sum(65 <= x <= 90 for x in raw) / size, sum(48 <= x <= 57 for x in raw) / size, symbol / size, 1 - len(set(w)) / n, min(len(w) / 100, 1), min(size / n / 20, 1)]
+    return counts, np.array(shares)
+
+
+def test_quality_equals_plain_voting(spark, some):
+    """Every document against every labelled vector, one by one; copies make ties."""
+    docs = table(spark, some, "documents").filter("doc_id < 150").select("doc_id", "text")
+    docs = materialize(docs.unionByName(docs.filter("doc_id < 90").withColumn("doc_id", F.col("doc_id") + 1000)), "copies")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in [*range(0, 150, 2), *range(1000, 1090)]], "doc_id long, quality int")
+    space = quality.fit(docs, labels, F.lit(True))
+    rows = docs.collect()
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    labelled = [(i, y) for i, y in sorted((r["doc_id"], r["quality"]) for r in labels.collect()) if i in texts]
+    assert space.labels.tolist() == [y for _, y in labelled]
+    place = lambda text: space.place(*[x[None] for x in plain_features(text)])[0]
+    vectors = [place(texts[i]) for i, _ in labelled]
+    n_good = sum(y for _, y in labelled)
+    assert {float(w) for w in space.weights} == {1.0} and 0 < n_good < len(labelled)
+    want = {}
+    for i, text in texts.items():
+        v = place(text)
+        cosines = [round(float(v @ u) / quality.STEP) for u in vectors]
+        near = sorted(range(len(vectors)), key=lambda j: (-cosines[j], j))[: quality.NEIGHBOURS]
+        weight = [max(cosines[j] * quality.STEP, 1e-6) ** 4 for j in near]
+        want[i] = sum(w * labelled[j][1] for w, j in zip(weight, near, strict=True)) / sum(weight)
+    scores = [{r["doc_id"]: r["quality_score"] for r in quality.score_quality(docs.repartition(n, "text"), labels, F.lit(True)).collect()} for n in (1, 7)]
+    assert scores[0] == scores[1]
+    assert all(abs(scores[0][i] - x) < 1e-9 for i, x in want.items())
 
 
 def test_languages_held_out(spark, some):
