@@ -38,12 +38,19 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets become a mark, and n_chars follows the text."""
-    columns = [c for c in docs.columns if c not in ("text", "n_chars")]
-    clean = scan_secrets(docs).withColumn("clean", redact(F.col("text"), F.col("secret_all")))
-    chars = F.when(F.size("secret_all") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars"))
-    found = {"text": F.col("clean"), "n_chars": chars} | {c: F.col(c) for c in columns}
-    return clean.select(*[found[c].alias(c) for c in docs.columns])
+    """Every document stays; its secrets become a mark, and n_chars follows the text.
+
+    Null and empty texts and texts without a secret stay as they are; repeated rows are each blanked;
+    very long texts are scanned whole; an empty table gives an empty table.
+    """
+    base, spans = fresh_name(docs, "secret_base"), fresh_name(docs, "secret_spans")
+    scanned = scan_secrets(docs, names=(base, spans))
+    clean = fresh_name(scanned, "clean")
+    scanned = scanned.withColumn(clean, redact(F.col("text"), F.col(spans)))
+    changed = {"text": F.col(clean)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.size(spans) > 0, F.length(clean).cast("long")).otherwise(F.col("n_chars"))
+    return scanned.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,7 +118,7 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t F
   SELECT rid, a, c, CASE WHEN regexp_matches(c, '^[0-9A-Fa-f]+$') AND regexp_matches(c, '[0-9]') AND regexp_matches(c, '[A-Fa-f]') THEN 3.0
     WHEN regexp_matches(c, '[0-9]') AND regexp_matches(c, '[a-z]') AND regexp_matches(c, '[A-Z]') THEN 3.8
     WHEN regexp_matches(c, '[0-9]') AND regexp_matches(c, '[a-z]') THEN 3.6 WHEN regexp_matches(c, '[0-9]') AND regexp_matches(c, '[A-Z]') THEN 3.6 END::DOUBLE AS bits
-  FROM placed WHERE kind = 'candidate'{"".join(f" AND NOT regexp_matches(c, '{x}')" for x in ALLOW)}
+  FROM placed WHERE kind = 'candidate'{"".join(f" AND NOT regexp_matches(c, '{x.replace("++", "+")}')" for x in ALLOW)}
 ), windows AS (
   SELECT rid, a, i, bits, string_split(c[i + 1:i + {WINDOW}], '') AS w FROM limits, unnest(range(0, length(c) - {WINDOW} + 1)) u(i) WHERE bits IS NOT NULL
 ), counted AS (
@@ -129,7 +129,7 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t F
   SELECT rid, a + min(i) AS a, a + max(i) + {WINDOW} AS z FROM (
     SELECT rid, a, i, sum(CASE WHEN step <= {WINDOW} THEN 0 ELSE 1 END) OVER (PARTITION BY rid, a ORDER BY i) AS run FROM flagged) GROUP BY rid, a, run
 ), spans AS (
-  SELECT * FROM base UNION ALL SELECT rid, 3, 'entropy', a, z FROM runs r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = r.rid AND b.a < r.z AND r.a < b.z)
+  SELECT * FROM base UNION ALL SELECT rid, 3, 'entropy', a, z FROM runs r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = r.rid AND b.a <= r.a AND r.z <= b.z)
 ), joined AS (
   SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
     string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) FILTER (rank < 3) AS b, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) AS s FROM spans GROUP BY rid

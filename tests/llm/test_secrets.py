@@ -37,7 +37,7 @@ def entropic(text, taken):
                 else:
                     runs.append([i, i + s.WINDOW])
         out += [(m.start() + a, 3, m.start() + b) for a, b in runs]
-    return [x for x in out if not any(b[0] < x[2] and x[0] < b[2] for b in taken)]
+    return [x for x in out if not any(b[0] <= x[0] and x[2] <= b[2] for b in taken)]
 
 
 CASES = [
@@ -70,6 +70,35 @@ def test_spans_equal_brute_force(spark):
     assert found_by_entropy > 5
 
 
+def test_long_candidates_and_many_matches(spark):
+    """Windows over several blocks, a candidate of 100,000 characters, and thousands of spans in a text."""
+    rng = random.Random(9)
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    broken = "1A" + "".join(some("ab", rng.randint(15, 60)) + some(mixed, rng.randint(15, 60)) for _ in range(1400))
+    lines = " ".join(rng.choice([some("0123456789abcdef", 26), "token=" + some("abc", 7), some(mixed, 30), "word"]) for _ in range(3000))
+    border = ["z9" + "Q" * n + some(mixed, 40) for n in range(s.WINDOW_BLOCK - 30, s.WINDOW_BLOCK + 6, 5)]
+    texts = [broken, lines, "é" + lines, *border]
+    assert len(broken) > 100_000
+    rows = s.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        want = base(r["text"])
+        assert [tuple(x) for x in r["secret_base"]] == want
+        assert [tuple(x) for x in r["secret_spans"]] == sorted(want + entropic(r["text"], want))
+    assert max(len(r["secret_spans"]) for r in rows) > 1000
+    path = "ab/" * 30_000 + "cd"  # a long path of words is on the allow list
+    assert s.scan_secrets(spark.createDataFrame([(1, path)], "doc_id long, text string")).first()["secret_spans"] == []
+
+
+def test_clashing_names(spark):
+    """Given columns called like helpers pass through; those called like the results are replaced."""
+    docs = spark.createDataFrame([(1, "x token=abcdefg", 5, 6, 7, 8)], "doc_id long, text string, secret_candidates int, secret_found int, clean int, secret_base int")
+    got = s.scan_secrets(docs)
+    assert got.columns == [*docs.columns, "secret_spans"]
+    r = got.first()
+    assert (r["secret_candidates"], r["secret_found"], r["clean"]) == (5, 6, 7) and [tuple(x) for x in r["secret_base"]] == [(2, 0, 15)]
+
+
 def test_odd_documents(odd_docs, no_docs):
     rows = s.scan_secrets(odd_docs)
     assert rows.count() == odd_docs.count() and s.scan_secrets(no_docs).count() == 0
