@@ -60,7 +60,7 @@ def _pieces(doc_id, source, size: int, capacity: int):
 
 def _pack_shard(capacity: int):
     def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "cluster", "source"], kind="stable", na_position="last")
+        pdf = pdf.sort_values(["doc_id", "cluster", "source", "copy"], kind="stable", na_position="last")
         source_bits = {s: i for i, s in enumerate(pdf["source"].dropna().unique())}
         seen = pdf["cluster"].value_counts()
         cluster_bits = {c: i for i, c in enumerate(sorted(seen.index[seen > 1]))}
@@ -93,8 +93,10 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, rows_per_shard: int =
     bin_words (how full its bin is). A bin holds at most one piece of a source and at most one
     document of a duplicate cluster (documents of the same text). Documents of no words, or null,
     come back as one row without a bin. Documents of no source conflict by cluster only. Null ids
-    are packed like others. Repeated rows are packed each, in different bins. An empty table gives
-    an empty table; other columns are ignored.
+    are packed like others. Repeated rows are packed each, in different bins. Very long texts become
+    many pieces, one bin each. Of pieces of equal length the one of smaller doc_id is placed first,
+    and of equally full bins the one opened first is taken; reruns agree, whatever the partitioning.
+    An empty table gives an empty table; other columns are ignored.
 
     Shards hold ``rows_per_shard`` documents on average at any input size, so the work of a task is
     bounded, and at most the last bins of each shard stay emptier than one packing of all would
@@ -107,6 +109,9 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, rows_per_shard: int =
         n_words(F.col("text")).alias("size"),
         F.md5(text.cast("binary")).alias("cluster"),
     )
+    # rows that are equal are counted and numbered, so that a row repeated without end meets all shards
+    counted = sized.groupBy(*sized.columns).agg(F.count("*").alias("n"))
+    numbered = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
     shards = max(1, -(-docs.count() // rows_per_shard))
-    shard = F.pmod(F.xxhash64("doc_id", "source", "cluster"), F.lit(shards))
-    return sized.withColumn("shard", shard).groupBy("shard").applyInPandas(_pack_shard(capacity), SCHEMA)
+    shard = F.pmod(F.xxhash64("doc_id", "source", "cluster", "copy"), F.lit(shards))
+    return numbered.withColumn("shard", shard).groupBy("shard").applyInPandas(_pack_shard(capacity), SCHEMA)

@@ -66,6 +66,16 @@ def test_copies_are_kept_apart(spark):
         assert sum(r["doc_id"] < 100 for r in held) <= 1
 
 
+def test_a_row_repeated_without_end_meets_all_shards(spark):
+    docs = spark.range(3000).selectExpr("7L AS doc_id", "'one two three' AS text", "'hot' AS source")
+    packed = pack_documents(docs, capacity=9, rows_per_shard=100)
+    rows = packed.collect()
+    check_packing(rows, 9)
+    per_shard = Counter(r["bin_id"] >> 32 for r in rows)
+    assert len(rows) == 3000 and len(per_shard) == 30 and max(per_shard.values()) < 200
+    assert sorted(rows) == sorted(pack_documents(docs.repartition(5), capacity=9, rows_per_shard=100).collect())
+
+
 def targets_by_rounds(sizes, cap):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
