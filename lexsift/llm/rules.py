@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bound_batches, bounded_sample
 from .textkernel import IS_SPACE, list_array, mix, per_row, shingles, slices, span_hashes, words
 
 #: Fixed value: the characters that count as symbols.
@@ -166,11 +166,14 @@ def train_field(row: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int = 80,
 def _sample_lines(most_lines: int):
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            h = batch.column("h").to_numpy()
             for first, buf, offs in slices(batch.column("text")):
                 lines = Lines(buf, offs, words(buf, offs, False)[1])
                 starts = np.searchsorted(lines.row, np.arange(len(offs)))
-                rank = np.arange(len(lines.row)) - starts[lines.row]
-                keep = rank < most_lines
+                spare = np.maximum(np.diff(starts) - most_lines, 0)
+                begin = (mix(h[first : first + len(offs) - 1].view(np.uint64)) % (spare + 1).astype(np.uint64)).astype(np.int64)
+                rank = np.arange(len(lines.row)) - (starts[:-1] + begin)[lines.row]
+                keep = (rank >= 0) & (rank < most_lines)
                 bounds = np.searchsorted(lines.row[keep], np.arange(len(offs)))
                 part = batch.slice(first, len(offs) - 1)
                 width = lines.features.shape[1]
@@ -182,9 +185,13 @@ def _sample_lines(most_lines: int):
 
 
 def fit(docs: DataFrame, sample: int = 2000, most_lines: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """The field, from the first ``most_lines`` lines of ``sample`` documents chosen by hash of the id."""
-    picked = bounded_sample(docs, docs.count(), sample, "doc_id", "text").select(F.xxhash64("doc_id").alias("h"), "text")
-    got = picked.mapInArrow(_sample_lines(most_lines), "h long, x array<double>").toArrow()
+    """The field, from ``sample`` documents chosen by hash of id and text. A document of more than
+    ``most_lines`` lines gives a stretch of so many, which may lie anywhere in its text; features are
+    those of the whole document. Only hashes are put in order, and of equal rows one is taken."""
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    chosen = [r["h"] for r in bounded_sample(hashed.select("h").distinct(), docs.count(), sample, "h").collect()]
+    picked = hashed.join(F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in chosen], "h long")), "h").groupBy("h").agg(F.min("text").alias("text"))
+    got = picked.mapInArrow(_sample_lines(most_lines), "h long, x array<double>").toArrow().sort_by("h")
     width = len(FEATURES)
     flat = got.column("x").combine_chunks()
     if not len(flat):
@@ -236,9 +243,11 @@ def apply_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int =
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     content_share, and line_labels: one letter a line, C content, B boilerplate, - without a word.
-    Null text is the empty text: no words, failed. Null ids, repeated rows and very long texts are
-    judged like others; other columns are ignored; an empty table gives an empty table.
+    Null text is the empty text: no words, failed. Null ids, repeated rows and very long texts (used
+    whole) are judged like others. Of equally good labellings a line's label is content, so ties are
+    kept. Other columns are ignored; an empty table gives an empty table.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text"), sample))
     schema = (
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
