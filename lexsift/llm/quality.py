@@ -169,4 +169,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, in_training: Column, sampl
     bound_batches(docs.sparkSession)
     space = fit(docs.select("doc_id", "text"), labels, in_training, sample)
     shared = docs.sparkSession.sparkContext.broadcast(space)
-    return docs.withColumn(name, F.arrow_udf(_vote(shared), "double", F.ArrowUDFType.SCALAR_ITER)(docs["text"]))
+    return docs.withColumn(name, F.arrow_udf(_vote(shared), "double")(docs["text"]))

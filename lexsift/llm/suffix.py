@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, number_rows
+from .common import bound_batches, bounded_sample, broadcast_if_small, materialize, number_rows
 from .textkernel import BYTE_BITS, FOLDED_BITS, mix, slices, span_hashes
 
 LENGTH, GRAM = 100, 32
@@ -28,6 +28,8 @@ LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM
 #: Strings of a fragment at most; only periodic text has longer runs of one anchor.
 LONGEST = 128
+#: Anchors that so many of SAMPLE rows have are dealt over SPLIT tasks first.
+SAMPLE, OFTEN, SPLIT = 1 << 14, 64, 64
 
 
 def _gram_hashes(buf: np.ndarray) -> np.ndarray:
@@ -79,25 +81,55 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, last, least[start], after <= last + REACH
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each run of strings: 32 bits of its anchor, and the fragment of its bytes by hash and place."""
+def _anchors(shared):
+    """Rows -> a row for each run of strings: 32 bits of its anchor, and the fragment of its bytes by
+    hash and place. part is 0, or 1 and more for anchors that very many rows have."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            for first, buf, offs in slices(batch.column("text"), 1 << 19):
+                start, last, h, again = anchors(buf, offs)
+                anchor = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                row = np.searchsorted(offs, start, "right") - 1
+                rows = batch.slice(first, len(offs) - 1)
+                row_id = rows.column("row_id").to_numpy()[row]
+                deal = mix(row_id.astype(np.uint64) ^ (start - offs[row]).astype(np.uint64) << np.uint64(40)) % np.uint64(SPLIT)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(anchor),
+                        pa.array(np.where(np.isin(anchor, often), deal.astype(np.int32) + 1, 0).astype(np.int32)),
+                        pa.array(span_hashes(buf, start, last + LENGTH).view(np.int64) if len(start) else np.zeros(0, np.int64)),
+                        rows.column("doc_id").take(pa.array(row)),
+                        pa.array(row_id),
+                        pa.array((start - offs[row]).astype(np.int32)),
+                        pa.array((last - start + LENGTH).astype(np.int32)),
+                        pa.array(again),
+                    ],
+                    ["anchor", "part", "fragment", "doc_id", "row_id", "start", "size", "again"],
+                )
+
+    return found
+
+
+def _anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of each row, once each."""
     for batch in batches:
-        for first, buf, offs in slices(batch.column("text"), 1 << 19):
-            start, last, h, again = anchors(buf, offs)
+        for _, buf, offs in slices(batch.column("text"), 1 << 19):
+            start, _, h, _ = anchors(buf, offs)
             row = np.searchsorted(offs, start, "right") - 1
-            part = batch.slice(first, len(offs) - 1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                    pa.array(span_hashes(buf, start, last + LENGTH).view(np.int64) if len(start) else np.zeros(0, np.int64)),
-                    part.column("doc_id").take(pa.array(row)),
-                    part.column("row_id").take(pa.array(row)),
-                    pa.array((start - offs[row]).astype(np.int32)),
-                    pa.array((last - start + LENGTH).astype(np.int32)),
-                    pa.array(again),
-                ],
-                ["anchor", "fragment", "doc_id", "row_id", "start", "size", "again"],
-            )
+            pairs = np.unique(np.stack((row, (h >> np.uint64(32)).astype(np.int64))), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[1].astype(np.uint32).view(np.int32))], ["anchor"])
+
+
+def common_anchors(numbered: DataFrame, sample: int = SAMPLE, often: int = OFTEN) -> np.ndarray:
+    """Anchors that at least ``often`` of ``sample`` rows, chosen by hash, have. They steer how rows are
+    dealt and no result; there are at most as many as the sample's anchors over ``often``."""
+    ids = [r["row_id"] for r in bounded_sample(numbered.select("row_id"), numbered.count(), sample, "row_id").collect()]
+    chosen = numbered.sparkSession.createDataFrame([(i,) for i in ids], "row_id long")
+    texts = numbered.select("row_id", "text").join(F.broadcast(chosen), "row_id", "left_semi").select("text")
+    counts = texts.mapInArrow(_anchors_of, "anchor int").groupBy("anchor").count().filter(F.col("count") >= often)
+    return np.sort(counts.select("anchor").toArrow().column("anchor").to_numpy())
 
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,31 +370,25 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)], ["row_id", "runs"])
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "removed": []}
-        text = batch.column("text").cast(pa.binary())
-        for raw, runs in zip(text, batch.column("runs"), strict=True):
-            raw = raw.as_py()
-            spans = [(r["start"], r["end"]) for r in runs.as_py() or ()]
-            keep, at = hashlib.sha256(), 0
-            for a, b in spans:
-                keep.update(raw[at:a])
-                at = b
+def _kept_sha256(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """SHA-256 of a text's bytes without its runs; null texts (those that lose nothing) have none."""
+    for text, runs in texts:
+        out = []
+        for raw, spans in zip(text.cast(pa.binary()), runs, strict=True):
+            raw, at = raw.as_py(), 0
+            if raw is None:
+                out.append(None)
+                continue
+            keep = hashlib.sha256()
+            for r in spans.as_py():
+                keep.update(raw[at : r["start"]])
+                at = r["end"]
             keep.update(raw[at:])
-            out["n_bytes"].append(len(raw))
-            out["n_removed"].append(sum(b - a for a, b in spans))
-            out["n_spans"].append(len(spans))
-            out["kept_sha256"].append(keep.hexdigest())
-            out["removed"].append([{"start": a, "end": b} for a, b in spans])
-        spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), spans_type)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], ["doc_id", *out]
-        )
-
-
-def remove_repeats(docs: DataFrame, bucket_fragments: int = 2048) -> DataFrame:
+            out.append(keep.hexdigest())
+        yield pa.array(out, pa.string())
+
+
+def remove_repeats(docs: DataFrame, bucket_fragments: int = 2048, common: tuple[int, int] = (SAMPLE, OFTEN)) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed) of every row of ``docs`` (doc_id, text).
 
     A byte is removed when a string of 100 bytes that covers it also starts earlier: in a smaller
@@ -373,26 +399,35 @@ def remove_repeats(docs: DataFrame, bucket_fragments: int = 2048) -> DataFrame:
 
     ``docs`` is read once.
     """
-    text = F.coalesce("text", F.lit(""))
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    bound_batches(docs.sparkSession)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     numbered = number_rows(given, "row_id", "repeats-input").select("row_id", "doc_id", "text")
-    schema = "anchor int, fragment long, doc_id long, row_id long, start int, size int, again boolean"
-    found = numbered.mapInArrow(_anchors, schema)
+    shared = docs.sparkSession.sparkContext.broadcast(common_anchors(numbered, *common))
+    schema = "anchor int, part int, fragment long, doc_id long, row_id long, start int, size int, again boolean"
+    found = numbered.mapInArrow(_anchors(shared), schema)
     # one shuffle by anchor: equal fragments in order of place, how many there are, and how many differ
     place = (F.col("doc_id").asc_nulls_first(), "row_id", "start")
-    order = Window.partitionBy("anchor").orderBy("fragment", *place)
+    order = Window.partitionBy("anchor", "part").orderBy("fragment", *place)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     new = F.coalesce(F.lag("fragment").over(order) != F.col("fragment"), F.lit(True))
-    marked = found.withColumn("first", new).withColumn("n", F.count("*").over(whole)).filter("n > 1 or again")
-    marked = marked.withColumn("kinds", F.sum(F.col("first").cast("int")).over(whole)).filter("kinds > 1 or again or not first")
-    marked = materialize(marked.drop("fragment", "n"), "repeated-anchors")
+    marked = found.withColumn("first", new).withColumn("n", F.count("*").over(whole)).filter("part > 0 or n > 1 or again")
+    marked = marked.withColumn("kinds", F.sum(F.col("first").cast("int")).over(whole)).filter("part > 0 or kinds > 1 or again or not first")
+    marked = materialize(marked.withColumn("fragment", F.when(F.col("part") > 0, F.col("fragment"))).drop("n"), "repeated-anchors")
+    # of a common anchor, each part has found its own first fragments: at most SPLIT of a kind go on
+    shown = ("anchor", "row_id", "start", "size", "again", "first", "kinds")
+    order = Window.partitionBy("anchor", "fragment").orderBy(*place)
+    firsts = marked.filter("part > 0 and first").withColumn("first", F.row_number().over(order) == 1).drop("kinds")
+    firsts = materialize(firsts, "common-anchors")
+    kinds = firsts.groupBy("anchor").agg(F.count_if("first").cast("long").alias("kinds"))
+    firsts = firsts.join(F.broadcast(kinds), "anchor").select(*shown)  # a row for each common anchor, which are bounded
+    marked = marked.filter("part = 0 or not first").select(*shown).unionByName(firsts)
     # of equal fragments all but the earliest go whole; different ones around an anchor are sorted
     copies = marked.filter("not first").select("row_id", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("end"))
     different = marked.filter("first and (kinds > 1 or again)")
     hot = max(2, bucket_fragments // 4)
     totals = different.agg(*[F.sum(F.when(c, 1)).alias(name) for name, c in (("cold", F.col("kinds") <= hot), ("hot", F.col("kinds") > hot))]).first()
     cold_buckets, hot_buckets = (max(1, -(-(totals[c] or 0) // bucket_fragments)) for c in ("cold", "hot"))
-    part = F.pmod(F.xxhash64("row_id"), F.ceil(F.col("kinds") / hot))
+    part = F.pmod(F.xxhash64("row_id", "start"), F.ceil(F.col("kinds") / hot))
     cold = F.pmod(F.xxhash64("anchor"), F.lit(cold_buckets))
     bucket = F.when(F.col("kinds") <= hot, cold).otherwise(cold_buckets + F.pmod(F.xxhash64("anchor", part), F.lit(hot_buckets)))
     wanted = different.groupBy("row_id").agg(F.collect_list(F.struct(bucket.alias("bucket"), "start", "size")).alias("wanted"))
@@ -408,7 +443,16 @@ def remove_repeats(docs: DataFrame, bucket_fragments: int = 2048) -> DataFrame:
     spans = spans.groupBy("row_id").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     spans = materialize(spans.mapInArrow(_merge, "row_id long, runs array<struct<start:long,end:long>>"), "removed-runs")
     few = spans.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0] <= 500_000
-    spans = broadcast_if_small(spans) if few else spans
-    joined = numbered.join(spans, "row_id", "left").select("doc_id", "text", "runs")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>"
-    return joined.mapInArrow(_finish, schema)
+    joined = numbered.join(broadcast_if_small(spans) if few else spans, "row_id", "left")
+    # only texts that lose something go to Python
+    cut_text = F.when(F.col("runs").isNotNull(), F.col("text"))
+    shorter = F.arrow_udf(_kept_sha256, "string")(cut_text, F.coalesce("runs", F.array().cast("array<struct<start:long,end:long>>")))
+    removed = F.coalesce("runs", F.array().cast("array<struct<start:long,end:long>>"))
+    return joined.select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.aggregate(removed, F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"]).alias("n_removed"),
+        F.size(removed).cast("long").alias("n_spans"),
+        F.when(F.col("runs").isNull(), F.sha2(F.col("text").cast("binary"), 256)).otherwise(shorter).alias("kept_sha256"),
+        removed.alias("removed"),
+    )
