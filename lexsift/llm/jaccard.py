@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, number_rows
+from .common import bound_batches, broadcast_if_small, fresh_name, materialize, number_rows
 from .components import connected_components
 from .textkernel import distinct_sorted, least_count, list_array, merge_counts, mix, shingles, slices, words
 
@@ -32,6 +32,8 @@ LEAST_SEEN = 4
 SKETCH = 1024
 #: Sets of so many shingles have a wider sketch, which folds to the other size.
 LARGE, WIDE_SKETCH = 1000, 4096
+#: Buckets of more classes are joined in blocks of about so many.
+BUCKET_BLOCK = 2048
 #: The sketch folded to four numbers, which go with the bucket entries.
 QUICK = 4
 
@@ -66,7 +68,7 @@ def frequent_shingles(docs: DataFrame, k: int, most: int = 1 << 18) -> tuple[np.
     how many these are. Counts cover all documents; what a task saw fewer than four times is left out.
     Every document is put into the same order, so which shingles these are steers the work and not
     the result."""
-    counts = docs.select("text").mapInArrow(_frequent(k, LEAST_SEEN, 1 << 20), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(_frequent(k, LEAST_SEEN, 1 << 19), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "jaccard-frequent")
     least = least_count([tuple(r) for r in counts.groupBy("n").count().collect()], most)
     got = counts.filter(F.col("n") >= least).toArrow()
@@ -90,7 +92,7 @@ def _signatures(shared, k: int, num: int, den: int):
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         for batch in batches:
-            for first, buf, offs in slices(batch.column("text"), most_rows=512):
+            for first, buf, offs in slices(batch.column("text"), most_rows=256):
                 values, bounds = _sets(buf, offs, k)
                 n_rows, n = len(offs) - 1, np.diff(bounds)
                 row = np.repeat(np.arange(n_rows), n)
@@ -195,7 +197,7 @@ def _possible(num: int, den: int):
     )
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int = BUCKET_BLOCK) -> DataFrame:
     """(row_id, doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
     Two rows are linked when ``den * intersection >= num * union`` of their sets of k-word shingles
@@ -208,11 +210,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     ``docs`` is read once; row_id is any number that no other row has.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _components(number_rows(given, "row_id", "jaccard-input"), k, num, den)
+    return _components(number_rows(given, "row_id", "jaccard-input"), k, num, den, block)
 
 
-def _components(numbered: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _components(numbered: DataFrame, k: int, num: int, den: int, block: int = BUCKET_BLOCK) -> DataFrame:
     """The same of rows (row_id, doc_id, text) that have been written."""
+    bound_batches(numbered.sparkSession)
     shared = numbered.sparkSession.sparkContext.broadcast(frequent_shingles(numbered, k))
     schema = "row_id long, doc_id long, n long, rare long, d1 long, d2 long, prefix array<long>, sketch array<long>"
     signed = materialize(numbered.mapInArrow(_signatures(shared, k, num, den), schema), "jaccard-signatures")
@@ -228,7 +231,8 @@ def _components(numbered: DataFrame, k: int, num: int, den: int) -> DataFrame:
     # of a pair, the set that isn't longer has the bucket's shingle in the first half of its prefix
     first_half = F.col("n") - F.col("pos") >= _need(num, den, 2 * F.col("n"))
     pivots = entries.groupBy("token").agg(F.min("cid").alias("pivot"), F.count("*").alias("classes"), F.bool_or(first_half).alias("open"))
-    pivots = pivots.filter("classes > 1 and open").select("token", "pivot")
+    blocks = F.ceil(F.col("classes") / block).cast("int")
+    pivots = pivots.filter("classes > 1 and open").select("token", "pivot", blocks.alias("blocks"))
     folded = [reduce(lambda a, b: a.bitwiseXOR(b), [F.col("narrow")[j] for j in range(i, SKETCH // 64, QUICK)]).alias(f"q{i}") for i in range(QUICK)]
     buckets = materialize(entries.join(pivots, "token").join(sketches.withColumn("narrow", _narrow(F.col("sketch"))).select("cid", *folded), "cid"), "jaccard-buckets")
 
@@ -260,9 +264,12 @@ def _components(numbered: DataFrame, k: int, num: int, den: int) -> DataFrame:
     placed = buckets.join(rooted, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     placed = placed.join(pivot_rooted, "pivot", "left")
     placed = placed.withColumn("outside", F.col("root") != F.coalesce("pivot_root", "pivot"))
-    placed = materialize(placed.select("token", "cid", "n", "pos", "root", "outside", *[f"q{i}" for i in range(QUICK)]), "jaccard-placed")
+    placed = materialize(placed.select("token", "cid", "n", "pos", "root", "outside", "blocks", *[f"q{i}" for i in range(QUICK)]), "jaccard-placed")
     once = ~F.col("y.outside") | (F.col("x.cid") < F.col("y.cid"))
-    found = placed.filter("outside").alias("x").join(placed.alias("y"), "token")
+    # a large bucket is many joins: its outside classes are dealt to blocks, the others meet every block
+    dealt = placed.filter("outside").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    met = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    found = dealt.alias("x").join(met.alias("y"), ["token", "block"])
     found = found.filter((F.col("x.root") != F.col("y.root")) & once & _possible(num, den))
     pairs = materialize(similar(ordered(found)).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
     more = _count_overlaps(pairs, classes, numbered, shared, k, num, den)
@@ -278,13 +285,16 @@ def _components(numbered: DataFrame, k: int, num: int, den: int) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one row of every component: that of the smallest doc_id (of equal ids, the first).
 
-    A row without shingles, or with no id in its component, counts as a component of its own.
+    A row without shingles (null, empty or blank text), or with no id in its component, counts as a
+    component of its own. Repeated rows are copies, so one stays. Texts count whole; columns of any
+    name pass through; an empty table gives an empty table.
     """
-    numbered = number_rows(docs, "jaccard_row", "jaccard-input")
-    given = numbered.select(F.col("jaccard_row").alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    row = fresh_name(docs, "jaccard_row")
+    numbered = number_rows(docs, row, "jaccard-input")
+    given = numbered.select(F.col(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = materialize(_components(given, k, num, den), "jaccard-found")
     alone = (F.col("n_shingles") == 0) | F.col("component_id").isNull()
     leaders = found.filter(~alone & (F.col("doc_id") == F.col("component_id"))).groupBy("component_id").agg(F.min("row_id").alias("row_id"))
     dropped = materialize(found.filter(~alone).select("row_id").join(leaders.select("row_id"), "row_id", "left_anti"), "jaccard-dropped")
-    gone = broadcast_if_small(dropped.select(F.col("row_id").alias("jaccard_row")))
-    return numbered.join(gone, "jaccard_row", "left_anti").select(*docs.columns)
+    gone = broadcast_if_small(dropped.select(F.col("row_id").alias(row)))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)

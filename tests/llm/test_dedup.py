@@ -77,12 +77,12 @@ def removal_docs(spark):
     return spark.createDataFrame(data, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("bucket", [4096, 8])
-def test_removal_equals_brute_force(spark, bucket):
-    """Small buckets make every shared anchor a hot one that is split."""
+@pytest.mark.parametrize("bucket, often", [(4096, 64), (8, 2)])
+def test_removal_equals_brute_force(spark, bucket, often):
+    """Small buckets make every shared anchor a hot one that is split, and a low count a common one."""
     docs = materialize(removal_docs(spark), "removal")
     want = plain_removal(sorted((r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()))
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.remove_repeats(docs, bucket).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.remove_repeats(docs, bucket, (1000, often)).collect()}
     assert got == want and sum(w[1] for w in want.values()) > 5000
 
 
@@ -140,11 +140,11 @@ def near_copies(rng):
     return rows
 
 
-@pytest.mark.parametrize("k, num", [(3, 90), (5, 80), (1, 60)])
-def test_components_equal_brute_force(spark, k, num):
+@pytest.mark.parametrize("k, num, block", [(3, 90, 2048), (5, 80, 2), (1, 60, 3)])
+def test_components_equal_brute_force(spark, k, num, block):
     rows = near_copies(random.Random(k))
     docs = materialize(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "near")
-    got = jaccard_components(docs, k, num, 100).collect()
+    got = jaccard_components(docs, k, num, 100, block).collect()
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == plain_components(rows, k, num, 100)
 
 
