@@ -68,7 +68,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     part.column("doc_id"),
                     part.column("label"),
                     list_array(which, bounds, pa.int32()),
-                    list_array(counts[at, which], bounds, pa.float64()),
+                    list_array(counts[at, which].astype(np.int32), bounds, pa.int32()),
                     list_array(shares.ravel(), np.arange(len(shares) + 1) * shares.shape[1], pa.float64()),
                 ],
                 ["doc_id", "label", "at", "n", "shares"],
@@ -82,21 +82,34 @@ def _unit(x: np.ndarray) -> np.ndarray:
 class Space:
     """The latent-semantic space and the labelled vectors in it, which are in order of their doc_id."""
 
-    def __init__(self, counts: np.ndarray, shares: np.ndarray, labels: np.ndarray, weights: np.ndarray):
-        n = max(1, len(counts))
-        self.idf = np.log((n + 1) / ((counts > 0).sum(0) + 1)) + 1
-        x = _unit(np.log1p(counts) * self.idf)
+    def __init__(self, at: np.ndarray, times: np.ndarray, bounds: np.ndarray, shares: np.ndarray, labels: np.ndarray, weights: np.ndarray):
+        """Row i has times[bounds[i]:bounds[i + 1]] trigrams of the buckets at[...]; rows become dense by blocks only."""
+        n = len(labels)
+
+        def blocks():
+            for i in range(0, n, ROWS):
+                own = slice(bounds[i], bounds[min(n, i + ROWS)])
+                counts = np.zeros((min(n, i + ROWS) - i, BUCKETS))
+                counts[np.repeat(np.arange(len(counts)), np.diff(bounds[i : i + ROWS + 1])), at[own]] = times[own]
+                yield i, counts
+
+        self.idf = np.log((n + 1) / (np.bincount(at, minlength=BUCKETS) + 1)) + 1
+        weighted = lambda counts: _unit(np.log1p(counts) * self.idf)
         # randomised range finder with three rounds of subspace iteration
         rng = np.random.default_rng(7)
-        q = rng.standard_normal((x.shape[1], min(RANK + 16, n)))
+        q = rng.standard_normal((BUCKETS, min(RANK + 16, n)))
         for _ in range(4):
-            q, _ = np.linalg.qr(x.T @ (x @ q))
-        _, _, small = np.linalg.svd(x @ q, full_matrices=False)
+            turned = np.zeros_like(q)
+            for _, counts in blocks():
+                x = weighted(counts)
+                turned += x.T @ (x @ q)
+            q, _ = np.linalg.qr(turned)
+        _, _, small = np.linalg.svd(np.concatenate([weighted(counts) @ q for _, counts in blocks()]), full_matrices=False)
         self.axes = (q @ small.T)[:, :RANK]
         self.spread = shares.std(0) + 0.02
         self.mean = shares.mean(0)
         self.labels, self.weights = labels.astype(np.float64), weights.astype(np.float64)
-        self.vectors = np.concatenate([self.place(counts[i : i + ROWS], shares[i : i + ROWS]) for i in range(0, n, ROWS)])
+        self.vectors = np.concatenate([self.place(counts, shares[i : i + ROWS]) for i, counts in blocks()])
 
     def place(self, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
         latent = _unit((np.log1p(counts) * self.idf) @ self.axes)
@@ -133,15 +146,13 @@ def fit(docs: DataFrame, labels: DataFrame, in_training: Column, sample: int = 2
     # of rows of one id the text that sorts first is learned from, and rows are in order of their ids,
     # so the space doesn't depend on how the table is partitioned
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    got = picked.mapInArrow(_sparse, "doc_id long, label int, at array<int>, n array<double>, shares array<double>").toArrow().sort_by("doc_id")
-    counts = np.zeros((got.num_rows, BUCKETS))
+    got = picked.mapInArrow(_sparse, "doc_id long, label int, at array<int>, n array<int>, shares array<double>").toArrow().sort_by("doc_id")
     at = got.column("at").combine_chunks()
-    row = np.repeat(np.arange(got.num_rows), np.diff(at.offsets.to_numpy()))
-    counts[row, at.flatten().to_numpy()] = got.column("n").combine_chunks().flatten().to_numpy()
+    buckets, times = at.flatten().to_numpy(), got.column("n").combine_chunks().flatten().to_numpy()
     shares = got.column("shares").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
     label = got.column("label").to_numpy()
     stands_for = {x: sizes[x] / max(1, int((label == x).sum())) for x in sizes}
-    return Space(counts, shares, label, np.array([stands_for[x] for x in label.tolist()]))
+    return Space(buckets, times, at.offsets.to_numpy(), shares, label, np.array([stands_for[x] for x in label.tolist()]))
 
 
 def _vote(shared):
