@@ -40,11 +40,20 @@ def unchanged(indexed: DataFrame, live: DataFrame, key: str, fields: tuple[str,
     return indexed.select(key, *fields).join(live.select(key, *fields), [key, *fields], "left_semi").select(key)
 
 
+def to_scan(visible: DataFrame, named: DataFrame, covered: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """The rows of ``visible`` that are candidates or that the index can't answer for.
+
+    ``named`` and ``covered`` have distinct keys, so each joins once and rows stay as they are: repeated
+    ones are each kept, and one with a null in its key is never covered.
+    """
+    flags = covered.withColumn("is_covered", F.lit(True)).join(named.withColumn("is_named", F.lit(True)), list(key), "left")
+    marked = visible.join(flags, list(key), "left")
+    return marked.filter(F.col("is_covered").isNull() | F.col("is_named")).drop("is_covered", "is_named")
+
+
 def scan_set(visible: DataFrame, candidates: DataFrame, covered: DataFrame, key: str = "doc_id") -> DataFrame:
     """Visible candidates, and everything visible that the index can't answer for."""
-    named = visible.join(candidates.select(key), key, "left_semi")
-    uncovered = visible.join(covered.select(key), key, "left_anti")
-    return named.unionByName(uncovered).dropDuplicates([key])
+    return to_scan(visible, candidates.select(key).distinct(), covered.select(key).distinct(), (key,))
 
 
 def expand_aliases(canonical: DataFrame, aliases: DataFrame) -> DataFrame:
