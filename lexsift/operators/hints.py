@@ -48,15 +48,11 @@ def resolve(cache: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def migrate(rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """One-row-per-path entries (key, file_path, cached_at) -> one row per key; a path that no longer
-    resolves drops its whole key."""
+    """One-row-per-path entries (key, file_path, cached_at) -> (key, file_id, cached_at), a row for each
+    file of a key; a path that no longer resolves drops its whole key. No entry becomes one long array."""
     joined = rows.join(documents.select(F.col("path").alias("file_path"), "file_id"), "file_path", "left")
-    grouped = joined.groupBy(*KEY).agg(
-        F.array_sort(F.collect_set("file_id")).alias("file_ids"),
-        F.bool_and(F.col("file_id").isNotNull()).alias("complete"),
-        F.max("cached_at").alias("cached_at"),
-    )
-    return grouped.filter("complete").drop("complete")
+    keys = joined.groupBy(*KEY).agg(F.bool_and(F.col("file_id").isNotNull()).alias("complete"), F.max("cached_at").alias("cached_at"))
+    return joined.select(*KEY, "file_id").distinct().join(keys.filter("complete").drop("complete"), list(KEY))
 
 
 def enumerate_rows(rows: DataFrame) -> DataFrame:

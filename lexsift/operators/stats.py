@@ -2,39 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weight of a new sample in a moving average.
 ALPHA = 0.1
 
 
-def _element(values: Column, at: Column) -> Column:
-    return F.element_at(values, at.cast("int"))
+def _ranks(trials: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:
+    """(by, value, upto, n): each distinct value, how many are not above it, and how many there are.
+
+    Rows are counted by value first, so that what is put in order is one row a value.
+    """
+    counts = trials.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("times"))
+    order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = counts.groupBy(*by).agg(F.sum("times").alias("n"))
+    return counts.withColumn("upto", F.sum("times").over(order)).join(totals, list(by))
+
+
+def _at(rank: Column, value: str) -> Column:
+    """The value at a rank from 1, of the rows of ``_ranks``."""
+    return F.min(F.when(F.col("upto") >= rank, F.col(value)))
 
 
 def trial_stats(trials: DataFrame, by: tuple[str, ...], value: str = "time_ms") -> DataFrame:
     """Least, median (whole numbers: the midpoint, rounded down), 95th percentile (the value at rank
     ceil(0.95 n)), greatest and mean of each group."""
-    grouped = trials.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("v"), F.avg(value).alias("mean"))
-    n = F.size("v")
-    low, high = _element(F.col("v"), F.floor((n + 1) / 2)), _element(F.col("v"), F.floor(n / 2) + 1)
-    return grouped.select(
-        *by,
-        n.cast("long").alias("n"),
-        _element(F.col("v"), F.lit(1)).alias("least"),
-        (low + F.shiftright(high - low, 1)).cast("long").alias("median"),
-        _element(F.col("v"), F.ceil(n * 0.95)).alias("p95"),
-        _element(F.col("v"), n).alias("greatest"),
-        F.round("mean", 6).alias("mean"),
+    n = F.col("n")
+    grouped = _ranks(trials, by, value).groupBy(*by).agg(
+        F.max("n").alias("n"),
+        F.min(value).alias("least"),
+        _at(F.floor((n + 1) / 2), value).alias("low"),
+        _at(F.floor(n / 2) + 1, value).alias("high"),
+        _at(F.ceil(n * 0.95), value).alias("p95"),
+        F.max(value).alias("greatest"),
     )
+    means = trials.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"))
+    median = (F.col("low") + F.shiftright(F.col("high") - F.col("low"), 1)).cast("long").alias("median")
+    return grouped.join(means, list(by)).select(*by, "n", "least", median, "p95", "greatest", "mean")
 
 
 def graph_p95(trials: DataFrame, by: tuple[str, ...], value: str = "time_ms") -> DataFrame:
     """The value at index int(0.95 n) from 0, as the graphs have it; not the same rank as above."""
-    grouped = trials.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("v"))
-    at = F.least(F.floor(F.size("v") * 0.95), F.size("v") - 1) + 1
-    return grouped.select(*by, _element(F.col("v"), at).alias("p95"))
+    n = F.col("n")
+    return _ranks(trials, by, value).groupBy(*by).agg(_at(F.least(F.floor(n * 0.95), n - 1) + 1, value).alias("p95"))
 
 
 def speedups(trials: DataFrame, base: str, other: str, targets: dict[str, float]) -> DataFrame:
@@ -55,10 +66,14 @@ def by_condition(trials: DataFrame, conditions: list[str], value: str = "time_ms
 
 
 def moving_average(samples: DataFrame, by: tuple[str, ...], order: str, value: str) -> DataFrame:
-    """Exponential moving average in order; the first sample seeds it."""
-    sorted_values = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("double"))
-    fold = F.aggregate(F.col("v"), F.lit(None).cast("double"), lambda acc, x: F.coalesce(acc * (1 - ALPHA) + x * ALPHA, x))
-    return samples.groupBy(*by).agg(sorted_values.alias("v")).select(*by, F.size("v").cast("long").alias("samples"), fold.alias("average"))
+    """Exponential moving average in order; the first sample seeds it.
+
+    Said as a sum: of n samples, the k-th weighs ALPHA (1 - ALPHA)^(n - k), and the first (1 - ALPHA)^(n - 1).
+    """
+    ranked = samples.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+    ranked = ranked.join(samples.groupBy(*by).agg(F.count("*").alias("samples")), list(by))
+    weight = F.pow(F.lit(1 - ALPHA), F.col("samples") - F.col("k")) * F.when(F.col("k") > 1, ALPHA).otherwise(1.0)
+    return ranked.groupBy(*by).agg(F.max("samples").alias("samples"), F.sum(weight * F.col(value)).alias("average"))
 
 
 def tune(samples: DataFrame, by: tuple[str, ...], least_samples: int = 5) -> DataFrame:

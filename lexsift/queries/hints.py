@@ -77,8 +77,8 @@ def cache_enumerate(spark, sf_dir):
 @query(f"""WITH {ROWS_SQL} SELECT pattern, flags, generation, count(DISTINCT doc_id) AS files, min(doc_id) AS first_id, max(rows.cached_at)::BIGINT AS cached_at
 FROM rows LEFT JOIN documents ON file_path = lang || '/' || doc_id GROUP BY ALL HAVING bool_and(doc_id IS NOT NULL)""")
 def cache_migrate(spark, sf_dir):
-    moved = hints.migrate(_rows(spark, sf_dir), _documents(spark, sf_dir))
-    return moved.select(*hints.KEY, F.size("file_ids").cast("long").alias("files"), F.col("file_ids")[0].alias("first_id"), F.col("cached_at").cast("long").alias("cached_at"))
+    moved = hints.migrate(_rows(spark, sf_dir), _documents(spark, sf_dir)).groupBy(*hints.KEY)
+    return moved.agg(F.count("*").alias("files"), F.min("file_id").alias("first_id"), F.max("cached_at").cast("long").alias("cached_at"))
 
 
 @query(f"WITH {ROWS_SQL} SELECT file_path FROM rows WHERE NOT (pattern = 'License' AND flags = 0)")

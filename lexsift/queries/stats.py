@@ -57,10 +57,12 @@ def result_set_parity(spark, sf_dir):
     return stats.result_parity(one, other, ("lang",), "doc_id")
 
 
-@query()
+@query("""WITH l AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY user_id)
+SELECT user_id, len(v)::BIGINT AS samples, round(list_reduce(v, lambda s, x: s * 0.9 + x * 0.1), 6) AS average FROM l""")
 def ema_fold(spark, sf_dir):
-    """A moving average of every user's values in order of time; SQL would need a recursion for each."""
-    return stats.moving_average(table(spark, sf_dir, "events"), ("user_id",), "event_id", "value")
+    """A moving average of every user's values in order of time; the SQL folds them one by one."""
+    averages = stats.moving_average(table(spark, sf_dir, "events"), ("user_id",), "event_id", "value")
+    return averages.select("user_id", "samples", F.round("average", 6).alias("average"))
 
 
 SAMPLES = "(1, 1, 7, 3.0D, 0.95D), (1, 2, 7, 3.0D, 0.95D), (1, 3, 7, 3.0D, 0.95D), (1, 4, 7, 3.0D, 0.95D), (1, 5, 7, 3.0D, 0.95D), (1, 6, 7, 3.0D, 0.95D), (2, 1, 4, 2.0D, 0.5D), (3, 1, 1, 1.0D, 0.5D), (3, 2, 2, 4.0D, 0.9D), (3, 3, 3, 1.0D, 0.5D), (3, 4, 3, 1.0D, 0.5D), (3, 5, 3, 1.0D, 0.5D)"

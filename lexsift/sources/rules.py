@@ -76,9 +76,16 @@ def ignored(path: Column, rules: list[Rule]) -> Column:
     return out
 
 
+#: Rules that are sent to all tasks at most.
+MOST_RULES = 10_000
+
+
 def by_rules(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """The same with rules as rows (rule_no, regex, negated), for rules that only a table has; the
-    path column is ``path``. Paths come back with ``ignored``."""
+    path column is ``path``. Paths come back with ``ignored``. Every path is held against every rule,
+    so the rules are sent to all tasks; more than MOST_RULES are an error."""
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     hit = paths.join(F.broadcast(rules), F.expr("path rlike regex"), "left")
     last = hit.groupBy("path").agg(F.max_by("negated", "rule_no").alias("negated"))
     return last.select("path", F.coalesce(~F.col("negated"), F.lit(False)).alias("ignored"))
