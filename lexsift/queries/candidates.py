@@ -17,7 +17,7 @@ from ..operators.search import matches, search
 from ..plans.planner import CostModel, plan
 from ..plans.query import Case, Mode, Query
 from ..sources.tables import corpus, table
-from .registry import GRAMS_SQL, TOKENS_SQL, query, values
+from .registry import GRAMS_SQL, TOKENS_SQL, query
 
 LITERAL = "there"
 GRAM_LIST = "('746865', '686572', '657265')"
@@ -152,13 +152,14 @@ def covered_by_language(spark, sf_dir):
     return docs.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("n_chars"))
 
 
-ALIASES = "('/a/x', 'x'), ('/a/x', './x'), ('/a/x', './x'), ('/a/y', 'y'), ('/a/z', 'link/z')"
-
-
-@query(f"SELECT DISTINCT canonical, display FROM (VALUES {ALIASES}) t(canonical, display) WHERE canonical IN ('/a/x', '/a/z')")
+@query("""SELECT DISTINCT '/c/' || o_custkey AS canonical, o_custkey || '/' || o_orderstatus AS display
+FROM orders SEMI JOIN (SELECT c_custkey AS o_custkey FROM customer WHERE c_acctbal > 0) USING (o_custkey)""")
 def alias_expand(spark, sf_dir):
-    named = values(spark, "('/a/x'), ('/a/z'), ('/a/gone')", "canonical")
-    return candidates.expand_aliases(named, values(spark, ALIASES, "canonical, display"))
+    """Customers as files that were named, and their orders' states as the spellings of each; many repeat."""
+    key = lambda c: F.concat(F.lit("/c/"), F.col(c).cast("string")).alias("canonical")
+    named = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(key("c_custkey"))
+    spelled = table(spark, sf_dir, "orders").select(key("o_custkey"), F.concat_ws("/", F.col("o_custkey").cast("string"), "o_orderstatus").alias("display"))
+    return candidates.expand_aliases(named, spelled)
 
 
 @query("SELECT doc_id, contains(text, 'Apache License') AS hinted FROM documents WHERE contains(text, 'the')")
@@ -169,24 +170,24 @@ def hint_order(spark, sf_dir):
 
 
 @query("""SELECT o.o_orderkey AS ordinal, o.o_custkey AS key, coalesce(p.position, -1)::BIGINT AS position FROM orders o
-LEFT JOIN (SELECT c_custkey AS key, (row_number() OVER (ORDER BY c_custkey) - 1) AS position FROM customer WHERE c_nationkey = 7) p ON p.key = o.o_custkey""")
+LEFT JOIN (SELECT c_custkey AS key, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) AS position FROM customer WHERE c_acctbal > 0) p ON p.key = o.o_custkey""")
 def batch_key_lookup(spark, sf_dir):
-    """Where each order's customer stands in the sorted list of one nation's customers, -1 if not there."""
+    """Where each order's customer stands in the sorted list of its nation's customers in credit, -1 if not there."""
     from pyspark.sql import Window
 
-    nation = table(spark, sf_dir, "customer").filter("c_nationkey = 7")
-    listed = nation.select(F.col("c_custkey").alias("key"), (F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).alias("position"))
+    listed = table(spark, sf_dir, "customer").filter("c_acctbal > 0")
+    listed = listed.select(F.col("c_custkey").alias("key"), (F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).alias("position"))
     wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ordinal"), F.col("o_custkey").alias("key"))
     return candidates.positions(listed, wanted)
 
 
-LISTS = "(1, 'a', 1), (1, 'a', 3), (1, 'a', 5), (1, 'a', 7), (1, 'a', 9), (1, 'b', 2), (1, 'b', 3), (1, 'b', 5), (1, 'b', 8), (1, 'b', 9), (2, 'a', 1), (2, 'a', 2), (2, 'a', 3), (2, 'a', 4), (2, 'a', 5), (2, 'b', 2), (2, 'b', 3), (2, 'b', 5), (2, 'c', 3), (2, 'c', 5), (3, 'a', 4), (3, 'b', 6)"
-
-
-@query("SELECT * FROM (VALUES (1, 3), (1, 5), (1, 9), (2, 3), (2, 5)) t(number, id)")
+@query(f"""WITH {GRAMS_SQL}, r AS (SELECT doc_id // 64 AS number, gram, doc_id AS id FROM grams WHERE gram IN {GRAM_LIST}),
+n AS (SELECT number, count(DISTINCT gram) AS lists FROM r GROUP BY number)
+SELECT number, id FROM r JOIN n USING (number) GROUP BY number, id, lists HAVING count(*) = lists""")
 def intersections(spark, sf_dir):
-    """Ids that all of a case's lists have."""
-    rows = values(spark, LISTS, "number, list, id")
+    """Ids that all of a segment's lists have; a segment has those of three grams that it knows."""
+    rows = gram_rows(table(spark, sf_dir, "documents")).filter(F.col("gram").isin(*literal_grams(LITERAL)))
+    rows = rows.select(F.expr("doc_id div 64").alias("number"), F.col("gram").alias("list"), F.col("doc_id").alias("id"))
     sizes = rows.groupBy("number").agg(F.count_distinct("list").alias("lists"))
     found = rows.groupBy("number", "id").agg(F.count_distinct("list").alias("n")).join(sizes, "number")
     return found.filter("n = lists").select("number", "id")
@@ -194,12 +195,12 @@ def intersections(spark, sf_dir):
 
 #: pattern, fixed, folded, whole word, and the plan that follows (of the patterns' literals).
 PLANS = (
-    ("hello", True, False, False, "grams", 3), ("ab", True, False, False, "scan", 0), ("hello", True, True, False, "scan", 0),
-    ("foo.*bar", False, False, False, "grams", 1), (".+", False, False, False, "scan", 0), ("hello", True, False, True, "word", 0),
-    ("hello world", True, False, True, "grams", 9), ("foo|bar", False, False, False, "scan", 0), ("(?i)foo", False, False, False, "scan", 0),
-    ("foo.*bar", False, False, True, "grams", 1), ("(?:longliteral)?x", False, False, False, "scan", 0), (r"\x6bilo", False, False, False, "grams", 2),
-    (r"kilo\.gram", False, False, False, "grams", 7), (r"kilo\(gram\)", False, False, False, "grams", 8), ("ki.o", False, False, False, "scan", 0),
-    ("kilo.gram", False, False, False, "grams", 2), ("(?i:k)ilo123456", False, False, False, "grams", 7), ("(?:kilogram|longsword)", False, False, False, "scan", 0),
+    ("orchard", True, False, False, "grams", 5), ("ox", True, False, False, "scan", 0), ("orchard", True, True, False, "scan", 0),
+    ("plum.*pear", False, False, False, "grams", 2), ("[0-9]+", False, False, False, "scan", 0), ("orchard", True, False, True, "word", 0),
+    ("ripe plum", True, False, True, "grams", 7), ("fig|date", False, False, False, "scan", 0), ("(?i)olive", False, False, False, "scan", 0),
+    ("plum.*pear", False, False, True, "grams", 2), ("(?:mulberry)?q", False, False, False, "scan", 0), (r"\x6delon", False, False, False, "grams", 3),
+    (r"sloe\.gin", False, False, False, "grams", 6), (r"sloe\(gin\)", False, False, False, "grams", 7), ("no.x", False, False, False, "scan", 0),
+    ("walnut.oil", False, False, False, "grams", 4), ("(?i:g)rape99", False, False, False, "grams", 4),
 )
 
 

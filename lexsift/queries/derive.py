@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..functions.text import csv_field, gram_rows, literal_grams, token_rows, truncate_pattern
+from ..functions.text import csv_field, gram_rows, literal_grams, short_grams, token_rows, truncate_pattern
 from ..operators.index import indexable
 from ..sources.tables import corpus, table
-from .registry import GRAMS_SQL, TOKENS_SQL, query, values
+from .registry import GRAMS_SQL, TOKENS_SQL, query
 
 
 @query(f"WITH {GRAMS_SQL} SELECT count(DISTINCT gram) AS unique_trigrams, count(*) AS total_postings, count(DISTINCT doc_id) AS docs FROM grams")
@@ -42,9 +42,11 @@ def word_stats(spark, sf_dir):
     return token_rows(table(spark, sf_dir, "documents")).agg(F.count("*").alias("n_entries"), F.count_distinct("token").alias("n_tokens"))
 
 
-@query("SELECT * FROM (VALUES (0, '68656C'), (1, '656C6C'), (2, '6C6C6F')) t(place, gram)")
+@query("""WITH i AS (SELECT p_partkey, hex(encode(p_name)[i:i + 2]) AS gram, i FROM (SELECT p_partkey, p_name, unnest(range(1, octet_length(encode(p_name)) - 1)) AS i FROM part))
+SELECT p_partkey, gram, (row_number() OVER (PARTITION BY p_partkey ORDER BY min(i)) - 1)::INTEGER AS place FROM i GROUP BY p_partkey, gram""")
 def literal_trigrams(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(literal_grams("hello"))), "place int, gram string")
+    """The distinct grams of every part's name, in order of first occurrence."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(short_grams(F.col("p_name"))).alias("place", "gram"))
 
 
 @query()
@@ -67,24 +69,21 @@ def query_signatures(spark, sf_dir):
     return found.agg(F.count("*").alias("postings")).select("postings", numeric.query_signature(F.array(*map(F.lit, grams)), F.col("postings")).alias("signature"))
 
 
-VARINTS = "(0), (1), (127), (128), (255), (256), (16383), (16384), (65535), (65536), (1000000), (2097151), (2097152), (268435455), (268435456), (4294967295)"
-
-
-@query(f"""SELECT v::BIGINT AS v, CASE WHEN v < 128 THEN 1 WHEN v < 16384 THEN 2 WHEN v < 2097152 THEN 3 WHEN v < 268435456 THEN 4 ELSE 5 END AS bytes
-FROM (VALUES {VARINTS}) t(v)""")
+@query("""SELECT v, CASE WHEN v < 128 THEN 1 WHEN v < 16384 THEN 2 WHEN v < 2097152 THEN 3 WHEN v < 268435456 THEN 4 ELSE 5 END AS bytes
+FROM (SELECT l_linenumber::BIGINT AS v FROM lineitem UNION ALL SELECT l_partkey FROM lineitem UNION ALL SELECT l_orderkey * l_partkey FROM lineitem UNION ALL SELECT l_orderkey * l_partkey * l_suppkey FROM lineitem)""")
 def varint_lengths(spark, sf_dir):
-    rows = values(spark, VARINTS, "v").select(F.col("v").cast("long").alias("v"))
+    """Every line's number, part and two products: numbers of one byte to five."""
+    products = F.array(F.col("l_linenumber").cast("long"), F.col("l_partkey"), F.expr("l_orderkey * l_partkey"), F.expr("l_orderkey * l_partkey * l_suppkey"))
+    rows = table(spark, sf_dir, "lineitem").select(F.explode(products).alias("v"))
     return rows.withColumn("bytes", numeric.varint_length(F.col("v")))
 
 
-FLAGS = "(false, false, false), (true, false, false), (false, true, false), (false, false, true), (true, true, true)"
-
-
-@query(f"""SELECT i, w, f, (i::INTEGER + 2 * w::INTEGER + 4 * f::INTEGER)::INTEGER AS flags,
+@query("""SELECT event_id, i, w, f, (i::INTEGER + 2 * w::INTEGER + 4 * f::INTEGER)::INTEGER AS flags,
   coalesce(nullif(concat_ws(' ', CASE WHEN i THEN '-i' END, CASE WHEN w THEN '-w' END, CASE WHEN f THEN '-F' END), ''), 'default') AS flags_text
-FROM (VALUES {FLAGS}) t(i, w, f)""")
+FROM (SELECT event_id, event_id % 2 = 1 AS i, event_id % 3 = 0 AS w, user_id % 5 = 0 AS f FROM events)""")
 def flag_bits(spark, sf_dir):
-    rows = values(spark, FLAGS, "i, w, f").withColumn("flags", numeric.cache_flags(F.col("i"), F.col("w"), F.col("f")))
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr("event_id % 2 = 1 AS i"), F.expr("event_id % 3 = 0 AS w"), F.expr("user_id % 5 = 0 AS f"))
+    rows = rows.withColumn("flags", numeric.cache_flags(F.col("i"), F.col("w"), F.col("f")))
     return rows.withColumn("flags_text", numeric.flags_text(F.col("flags")))
 
 
@@ -96,18 +95,22 @@ def format_size(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", n.alias("n"), numeric.format_size(n).alias("size"))
 
 
-QUANTITIES = """('1', false), ('2KB', false), ('0002MB', false), ('512MiB', false), ('1GiB', false), ('1TiB', false), ('18446744073709551615B', false),
-('18446744073709551616B', false), ('', false), ('-1', false), ('+1', false), ('1.5MiB', false), ('1unknown', false), ('0', false), ('0MiB', false),
-('99999999999TiB', false), ('10MB/s', true), ('10MB', true), ('10MB/s', false)"""
+UNITS = ("", "B", "KB", "MB", "GB", "TB", "KiB", "MiB", "GiB", "TiB", "unknown", ".5MB")
+QUANTITIES = f"""SELECT (CASE WHEN event_id % 17 = 0 THEN '' ELSE (event_id * 7919)::VARCHAR END) || [{", ".join(f"'{u}'" for u in UNITS)}][event_id % 12 + 1]
+  || CASE WHEN event_id % 3 = 0 THEN '/s' ELSE '' END AS value, event_id % 4 = 0 AS rate FROM events"""
 
 
-@query(f"""WITH q AS (SELECT value, rate, CASE WHEN rate THEN regexp_extract(value, '^(.*)/s$', 1) ELSE value END AS body FROM (VALUES {QUANTITIES}) t(value, rate)),
+@query(f"""WITH q AS (SELECT value, rate, CASE WHEN rate THEN regexp_extract(value, '^(.*)/s$', 1) ELSE value END AS body FROM ({QUANTITIES})),
 p AS (SELECT value, rate, regexp_extract(body, '^([0-9]+)([A-Za-z]*)$', 1) AS d, regexp_extract(body, '^([0-9]+)([A-Za-z]*)$', 2) AS u FROM q),
 m AS (SELECT value, rate, try_cast(nullif(d, '') AS DECIMAL(24, 0)) * CASE u WHEN '' THEN 1 WHEN 'B' THEN 1 WHEN 'KB' THEN 1000 WHEN 'MB' THEN 1000000 WHEN 'GB' THEN 1000000000
   WHEN 'TB' THEN 1000000000000 WHEN 'KiB' THEN 1024 WHEN 'MiB' THEN 1048576 WHEN 'GiB' THEN 1073741824 WHEN 'TiB' THEN 1099511627776 END::DECIMAL(13, 0) AS n FROM p)
 SELECT value, rate, CASE WHEN n > 0 AND n <= 18446744073709551615 THEN n END::VARCHAR AS bytes FROM m""")
 def quantity_parse(spark, sf_dir):
-    rows = values(spark, QUANTITIES, "value, rate")
+    """Every event as a quantity: a number, one of twelve units or what isn't one, sometimes a rate."""
+    number = F.when(F.expr("event_id % 17 = 0"), "").otherwise(F.expr("event_id * 7919").cast("string"))
+    unit = F.element_at(F.array(*map(F.lit, UNITS)), F.expr("int(event_id % 12) + 1"))
+    value = F.concat(number, unit, F.when(F.expr("event_id % 3 = 0"), "/s").otherwise(""))
+    rows = table(spark, sf_dir, "events").select(value.alias("value"), F.expr("event_id % 4 = 0 AS rate"))
     return rows.withColumn("bytes", numeric.parse_quantity(F.col("value"), F.col("rate")).cast("string"))
 
 
@@ -129,13 +132,12 @@ def corpus_roots(spark, sf_dir):
     )
 
 
-GATES = "('small.txt', 10, '61'), ('large.txt', 67108865, '61'), ('limit.txt', 67108864, '61'), ('little.txt', 20, 'FFFE6100'), ('big.txt', 20, 'FEFF0061'), ('empty', 0, '')"
-
-
-@query(f"SELECT path FROM (VALUES {GATES}) t(path, length, head) WHERE length <= 67108864 AND left(head, 4) NOT IN ('FFFE', 'FEFF')")
+@query("SELECT doc_id FROM documents WHERE octet_length(encode(text)) * (doc_id % 7) * 20000 <= 67108864 AND doc_id % 11 > 1")
 def size_and_bom_gate(spark, sf_dir):
-    rows = values(spark, GATES, "path, length, head")
-    return rows.filter(indexable(F.col("length"), F.unhex("head"))).select("path")
+    """Documents as if they were larger, some with a mark in front, that the build would index."""
+    head = F.when(F.expr("doc_id % 11 = 0"), F.unhex(F.lit("FFFE6100"))).when(F.expr("doc_id % 11 = 1"), F.unhex(F.lit("FEFF0061")))
+    length = F.octet_length(F.encode("text", "UTF-8")).cast("long") * F.expr("doc_id % 7") * 20_000
+    return table(spark, sf_dir, "documents").filter(indexable(length, head.otherwise(F.encode("text", "UTF-8")))).select("doc_id")
 
 
 @query("""SELECT event_id, (epoch_us(ts) * 1000)::BIGINT AS ns FROM events""")
@@ -143,15 +145,17 @@ def nanoseconds(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ns"))
 
 
-BUDGETS = "(1, 68719476736, 17179869184, 34359738368, 1000000000), (2, 8589934592, 8589934592, NULL, 200000000), (3, 34359738368, 1073741824, 2147483648, 4000000000)"
-
-
-@query(f"""SELECT id, least(total // 8, available // 4, coalesce(headroom // 4, 9223372036854775807))::BIGINT AS memory, least(probe // 4, 536870912)::BIGINT AS io
-FROM (VALUES {BUDGETS}) t(id, total, available, headroom, probe)""")
+@query("""SELECT id, least(total // 8, available // 4, coalesce(headroom // 4, 9223372036854775807))::BIGINT AS memory, least(probe // 4, 536870912)::BIGINT AS io
+FROM (SELECT o_orderkey AS id, o_orderkey * 4194304 AS total, o_custkey * 16777216 AS available, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey * 8388608 END AS headroom,
+  floor(o_totalprice)::BIGINT * 20000 AS probe FROM orders)""")
 def auto_budget(spark, sf_dir):
-    """A build's budgets from what the machine has: an eighth of all, a quarter of what is free."""
-    rows = values(spark, BUDGETS, "id, total, available, headroom, probe")
-    quarter = F.coalesce(F.floor(F.col("headroom") / 4), F.lit((1 << 63) - 1))
+    """A build's budgets from what a machine has: an eighth of all, a quarter of what is free. Every order
+    makes a machine."""
+    rows = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS id", "o_orderkey * 4194304 AS total", "o_custkey * 16777216 AS available",
+        "CASE WHEN o_orderkey % 3 > 0 THEN o_custkey * 8388608 END AS headroom", "bigint(floor(o_totalprice)) * 20000 AS probe",
+    )
+    quarter = F.coalesce(F.expr("headroom div 4"), F.lit((1 << 63) - 1))
     memory = F.least(F.expr("total div 8"), F.expr("available div 4"), quarter)
     return rows.select("id", memory.cast("long").alias("memory"), F.least(F.expr("probe div 4"), F.lit(512 << 20)).cast("long").alias("io"))
 
@@ -162,26 +166,28 @@ def memory_reserve(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", (6 * F.col("byte_length") + 4 * F.length("path")).cast("long").alias("reserve"))
 
 
-PROGRESS = "(0, 10, 5), (3, 12, 30), (12, 12, 99)"
+#: Every customer as a build that is under way, in a form of SQL that both engines read.
+PROGRESS = "SELECT c_custkey AS id, c_custkey % 13 AS done, CAST(12 AS BIGINT) AS total, c_custkey AS elapsed FROM customer"
+
 
+def _progress(spark, sf_dir):
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_custkey % 13 AS done", "CAST(12 AS BIGINT) AS total", "c_custkey AS elapsed")
 
-@query(f"SELECT done, total, elapsed, CASE WHEN done > 0 AND done < total THEN elapsed * (total - done) // done END::BIGINT AS eta FROM (VALUES {PROGRESS}) t(done, total, elapsed)")
+
+@query(f"SELECT id, done, total, elapsed, CASE WHEN done > 0 AND done < total THEN elapsed * (total - done) // done END::BIGINT AS eta FROM ({PROGRESS})")
 def progress_eta(spark, sf_dir):
-    rows = values(spark, PROGRESS, "done, total, elapsed")
+    rows = _progress(spark, sf_dir)
     eta = F.when((F.col("done") > 0) & (F.col("done") < F.col("total")), F.expr("elapsed * (total - done) div done"))
     return rows.withColumn("eta", eta.cast("long"))
 
 
-FEATURES = "(0), (1), (5), (15)"
-
-
-@query(f"""SELECT bits, coalesce(nullif(concat_ws(' ', CASE WHEN bits & 1 <> 0 THEN 'sse42' END, CASE WHEN bits & 2 <> 0 THEN 'avx2' END,
-  CASE WHEN bits & 4 <> 0 THEN 'avx512' END, CASE WHEN bits & 8 <> 0 THEN 'neon' END), ''), 'scalar') AS label FROM (VALUES {FEATURES}) t(bits)""")
+@query("""SELECT event_id, bits, coalesce(nullif(concat_ws(' ', CASE WHEN bits & 1 <> 0 THEN 'sse42' END, CASE WHEN bits & 2 <> 0 THEN 'avx2' END,
+  CASE WHEN bits & 4 <> 0 THEN 'avx512' END, CASE WHEN bits & 8 <> 0 THEN 'neon' END), ''), 'scalar') AS label FROM (SELECT event_id, event_id % 16 AS bits FROM events)""")
 def feature_labels(spark, sf_dir):
     """Bits to names; Spark's own code generation makes the features themselves pointless here."""
     names = [F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(("sse42", "avx2", "avx512", "neon"))]
     label = F.concat_ws(" ", *names)
-    return values(spark, FEATURES, "bits").withColumn("label", F.when(label == "", "scalar").otherwise(label))
+    return table(spark, sf_dir, "events").select("event_id", F.expr("event_id % 16 AS bits")).withColumn("label", F.when(label == "", "scalar").otherwise(label))
 
 
 @query()
@@ -190,11 +196,10 @@ def xor_checksums(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", numeric.xor64(F.encode("html", "UTF-8")).alias("checksum"))
 
 
-@query(f"""SELECT done, '{{"done":' || done || ',"total":' || total || ',"elapsed":' || elapsed || CASE WHEN done > 0 AND done < total THEN ',"eta":' || (elapsed * (total - done) // done) ELSE '' END || '}}' AS progress
-FROM (VALUES {PROGRESS}) t(done, total, elapsed)""")
+@query(f"""SELECT id, '{{"done":' || done || ',"total":' || total || ',"elapsed":' || elapsed || CASE WHEN done > 0 AND done < total THEN ',"eta":' || (elapsed * (total - done) // done) ELSE '' END || '}}' AS progress
+FROM ({PROGRESS})""")
 def progress_documents(spark, sf_dir):
-    rows = values(spark, PROGRESS, "done, total, elapsed")
-    return rows.select("done", numeric.progress_json(F.col("done"), F.col("total"), F.col("elapsed")).alias("progress"))
+    return _progress(spark, sf_dir).select("id", numeric.progress_json(F.col("done"), F.col("total"), F.col("elapsed")).alias("progress"))
 
 
 @query("SELECT doc_id, '/data/' || source || '/' || lang || '/' || doc_id || '.txt' AS path FROM documents")

@@ -8,12 +8,22 @@ from ..operators import hints
 from ..sources.tables import table
 from .registry import query, values
 
-CACHE = "('struct', 0, 1, array(0, 1, 5, 10, 42), 100), ('main', 1, 1, array(0, 3, 7), 101), ('use', 0, 2, array(3), 102), ('fn', 2, 2, array(), 103), ('let', 0, 3, array(999999999), 104)"
-
-
-def _cache(spark):
-    rows = spark.sql(f"SELECT * FROM (VALUES {CACHE}) AS t(pattern, flags, generation, file_ids, cached_at)")
-    return rows.withColumn("file_ids", F.col("file_ids").cast("array<bigint>"))
+#: One entry for every 64 documents; each fourth has an id that no document has.
+CACHE_SQL = """cache AS (
+  SELECT 'p' || g AS pattern, (g % 4)::INTEGER AS flags, (g % 3 + 1)::INTEGER AS generation, n + (g % 4 = 3)::BIGINT AS n, g::INTEGER AS cached_at, g
+  FROM (SELECT doc_id // 64 AS g, count(*) AS n FROM documents GROUP BY 1))"""
+
+
+def _cache(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id div 64 AS g", "doc_id").groupBy("g").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))  # 64 ids
+    ids = F.when(F.expr("g % 4 = 3"), F.array_append("ids", F.lit(-1).cast("long"))).otherwise(F.col("ids"))
+    return rows.select(
+        F.concat(F.lit("p"), F.col("g").cast("string")).alias("pattern"),
+        F.expr("int(g % 4)").alias("flags"),
+        F.expr("int(g % 3 + 1)").alias("generation"),
+        ids.alias("file_ids"),
+        F.col("g").cast("int").alias("cached_at"),
+    )
 
 
 def _documents(spark, sf_dir):
@@ -21,35 +31,35 @@ def _documents(spark, sf_dir):
     return docs.select(F.col("doc_id").alias("file_id"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
 
 
-@query("SELECT 5::BIGINT AS entries, 10::BIGINT AS file_refs, 3::BIGINT AS stale")
+@query(f"WITH {CACHE_SQL} SELECT count(*) AS entries, sum(n)::BIGINT AS file_refs, count(*) FILTER (generation <> 2) AS stale FROM cache")
 def cache_status(spark, sf_dir):
-    return hints.status(_cache(spark), 2)
+    return hints.status(_cache(spark, sf_dir), 2)
 
 
-@query("SELECT * FROM (VALUES ('struct', 0, 1, 5, 100), ('main', 1, 1, 3, 101), ('use', 0, 2, 1, 102), ('fn', 2, 2, 0, 103), ('let', 0, 3, 1, 104)) t(pattern, flags, generation, files, cached_at)")
+@query(f"WITH {CACHE_SQL} SELECT pattern, flags, generation, n::INTEGER AS files, cached_at FROM cache ORDER BY cached_at LIMIT 50")
 def cache_listing(spark, sf_dir):
-    return hints.listing(_cache(spark))
+    return hints.listing(_cache(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('use', 0, 2), ('fn', 2, 2)) t(pattern, flags, generation)")
+@query(f"WITH {CACHE_SQL} SELECT pattern, flags, generation FROM cache WHERE generation = 2")
 def cache_compact(spark, sf_dir):
-    return hints.compact(_cache(spark), 2).select(*hints.KEY)
+    return hints.compact(_cache(spark, sf_dir), 2).select(*hints.KEY)
 
 
-@query("SELECT lang || '/' || doc_id AS path FROM documents WHERE doc_id IN (0, 1, 5, 10, 42) AND (SELECT count(*) FROM documents WHERE doc_id IN (0, 1, 5, 10, 42)) = 5")
+@query("SELECT lang || '/' || doc_id AS path FROM documents WHERE doc_id // 64 = 1")
 def cache_lookup(spark, sf_dir):
-    return hints.lookup(_cache(spark), _documents(spark, sf_dir), "struct", 0, 1)
+    return hints.lookup(_cache(spark, sf_dir), _documents(spark, sf_dir), "p1", 1, 2)
 
 
 @query("SELECT NULL::VARCHAR AS path WHERE false")
 def cache_lookup_incomplete(spark, sf_dir):
     """One id that no document has makes the whole entry a miss."""
-    return hints.lookup(_cache(spark), _documents(spark, sf_dir), "let", 0, 3)
+    return hints.lookup(_cache(spark, sf_dir), _documents(spark, sf_dir), "p3", 3, 1)
 
 
-@query("SELECT pattern, flags, generation, pattern <> 'let' AS complete FROM (VALUES ('struct', 0, 1), ('main', 1, 1), ('use', 0, 2), ('fn', 2, 2), ('let', 0, 3)) t(pattern, flags, generation)")
+@query(f"WITH {CACHE_SQL} SELECT pattern, flags, generation, g % 4 <> 3 AS complete FROM cache")
 def cache_completeness(spark, sf_dir):
-    return hints.resolve(_cache(spark), _documents(spark, sf_dir)).select(*hints.KEY, "complete")
+    return hints.resolve(_cache(spark, sf_dir), _documents(spark, sf_dir)).select(*hints.KEY, "complete")
 
 
 ROWS_SQL = """rows AS (
@@ -86,20 +96,22 @@ def cache_invalidate(spark, sf_dir):
     return hints.invalidate(_rows(spark, sf_dir), "License", 0).select("file_path")
 
 
-@query("SELECT * FROM (VALUES ('struct', 0, 1, 5), ('main', 1, 1, 3), ('fn', 2, 2, 0), ('let', 0, 3, 1), ('new', 4, 3, 2)) t(pattern, flags, generation, files)")
+@query(f"WITH {CACHE_SQL} SELECT pattern, flags, generation, CASE WHEN g % 4 = 1 THEN 1 ELSE n END::INTEGER AS files FROM cache WHERE g % 4 <> 2 UNION ALL SELECT 'new', 4, 3, 2")
 def cache_store(spark, sf_dir):
-    """A new entry, and an incomplete one that only takes the old one out."""
-    schema = "pattern string, flags int, generation int, file_ids array<bigint>, cached_at int"
-    new = spark.createDataFrame([("new", 4, 3, [1, 2], 200), ("use", 0, 2, None, 201)], schema)
-    stored = hints.store(_cache(spark), new)
+    """A new entry, new contents for each fourth, and incomplete ones that only take old ones out."""
+    cache = _cache(spark, sf_dir)
+    one = cache.filter("cached_at % 4 = 1").withColumn("file_ids", F.slice("file_ids", 1, 1))
+    none = cache.filter("cached_at % 4 = 2").withColumn("file_ids", F.lit(None).cast("array<bigint>"))
+    new = spark.createDataFrame([("new", 4, 3, [1, 2], 200)], "pattern string, flags int, generation int, file_ids array<bigint>, cached_at int")
+    stored = hints.store(cache, one.unionByName(none).unionByName(new))
     return stored.select(*hints.KEY, F.size("file_ids").alias("files"))
 
 
-@query("SELECT * FROM (VALUES ('let'), ('fn'), ('use')) t(pattern)")
+@query(f"WITH {CACHE_SQL} SELECT pattern FROM cache ORDER BY cached_at DESC LIMIT 3")
 def cache_evict(spark, sf_dir):
-    return hints.evict_oldest(_cache(spark), 3).select("pattern")
+    return hints.evict_oldest(_cache(spark, sf_dir), 3).select("pattern")
 
 
-@query("SELECT pattern, flags FROM (VALUES ('struct'), ('main')) p(pattern), (VALUES (0), (1), (2)) f(flags)")
+@query("SELECT url AS pattern, flags FROM pages, (VALUES (0), (1), (2)) f(flags)")
 def precache_variants(spark, sf_dir):
-    return hints.warm_variants(values(spark, "('struct'), ('main')", "pattern"), insensitive=True, word=True)
+    return hints.warm_variants(table(spark, sf_dir, "pages").select(F.col("url").alias("pattern")), insensitive=True, word=True)

@@ -85,11 +85,11 @@ def segment_size_model(spark, sf_dir):
     return one.withColumn("file_bytes", gram_file_bytes(*map(F.col, ("docs", "paths", "n_grams", "n_blocks", "encoded"))))
 
 
-@query("SELECT 1::BIGINT AS docs, 2012::BIGINT AS file_bytes")
+@query(f"WITH {CORPUS_SQL} SELECT doc_id, 154 + 2 * octet_length(encode(path)) + 29 * greatest(byte_length - 2, 0) AS file_bytes FROM c")
 def segment_size_formula(spark, sf_dir):
-    """One document, a path of one byte, 64 grams."""
-    one = spark.range(1).select(F.lit(1).cast("long").alias("docs"))
-    return one.withColumn("file_bytes", gram_file_bytes(F.col("docs"), F.lit(1), F.lit(64), F.lit(64), F.lit(64)).cast("long"))
+    """A segment for each document, if no gram came twice."""
+    n = F.greatest(F.col("byte_length") - 2, F.lit(0))
+    return corpus(spark, sf_dir).select("doc_id", gram_file_bytes(F.lit(1), F.octet_length(F.encode("path", "UTF-8")), n, n, n).cast("long").alias("file_bytes"))
 
 
 @query(f"""WITH {TOKENS_SQL}, numbered AS (
@@ -106,9 +106,12 @@ def word_size_model(spark, sf_dir):
     return counted.withColumn("file_bytes", word_file_bytes(F.col("n_entries")).cast("long"))
 
 
-@query(f"WITH {GRAMS_SQL} SELECT count(DISTINCT gram) AS lists, count(*) AS entries, true AS all_increasing FROM grams")
+@query(f"""WITH {GRAMS_SQL}, e AS (SELECT gram, doc_id, lang FROM grams JOIN documents USING (doc_id) UNION ALL SELECT gram, doc_id, lang FROM grams JOIN documents USING (doc_id) WHERE lang = 'fr')
+SELECT lang, count(DISTINCT gram) AS lists, count(*) AS entries, lang <> 'fr' AS all_increasing FROM e GROUP BY lang""")
 def validate_monotonic(spark, sf_dir):
-    return increasing(postings(table(spark, sf_dir, "documents")))
+    """Each language's lists; those of one language hold every id twice."""
+    entries = postings(table(spark, sf_dir, "documents"), ("doc_id", "lang"))
+    return increasing(entries.unionByName(entries.filter("lang = 'fr'")), by=("lang",))
 
 
 @query(f"WITH {GRAMS_SQL} SELECT gram, count(*) AS doc_freq FROM grams WHERE gram IN ('746865', '656175', 'FFFFFF') GROUP BY gram")
@@ -138,16 +141,15 @@ def segment_names(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.format_string("seg_%08d.tri", "doc_id").alias("name"), "doc_id")
 
 
-PARTS = "('seg_1', 41, 123), ('seg_2', 42, 5), ('seg_3', 41, 7)"
-SIDECARS = "('seg_1', 41, 123), ('seg_2', 41, 5), ('seg_4', 41, 9)"
-
-
-@query(f"""SELECT p.stem, s.stem IS NOT NULL AS present, coalesce(p.generation = s.generation AND p.fingerprint = s.fingerprint, false) AS bound
-FROM (VALUES {PARTS}) p(stem, generation, fingerprint) LEFT JOIN (VALUES {SIDECARS}) s(stem, generation, fingerprint) ON p.stem = s.stem""")
+@query("""SELECT p_partkey AS stem, p_partkey % 3 > 0 AS present, p_partkey % 3 > 0 AND p_partkey % 5 > 0 AND p_partkey % 4 > 0 AS bound FROM part""")
 def sidecar_binding(spark, sf_dir):
-    """A word part counts only with the generation and fingerprint of its segment; none isn't an empty one."""
-    parts = values(spark, PARTS, "stem, generation, fingerprint")
-    sides = values(spark, SIDECARS, "stem, g, f").withColumn("present", F.lit(True))
+    """A word part counts only with the generation and fingerprint of its segment; none isn't an empty
+    one. Every part of the table is a segment; some have no word part, and some another's."""
+    segments = table(spark, sf_dir, "part")
+    parts = segments.selectExpr("p_partkey AS stem", "p_size AS generation", "p_partkey % 7 AS fingerprint")
+    sides = segments.filter("p_partkey % 3 > 0").selectExpr(
+        "p_partkey AS stem", "p_size + int(p_partkey % 5 = 0) AS g", "p_partkey % 7 + int(p_partkey % 4 = 0) AS f", "true AS present"
+    )
     joined = parts.join(sides, "stem", "left")
     same = (F.col("generation") == F.col("g")) & (F.col("fingerprint") == F.col("f"))
     return joined.select("stem", F.coalesce("present", F.lit(False)).alias("present"), F.coalesce(same, F.lit(False)).alias("bound"))
@@ -167,24 +169,24 @@ def engine_counters(spark, sf_dir):
     return whole.agg(*[F.max(c).alias(c) for c in whole.columns])
 
 
-ROOTS = ("src0", "src1", "src2", "src3")
-
-
-@query("SELECT doc_id, source AS root, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN '/roots/' || source END AS root_path FROM documents")
+@query("SELECT doc_id, source AS root, CASE WHEN source <> 'src19' THEN '/roots/' || source END AS root_path FROM documents")
 def root_lookup(spark, sf_dir):
-    """Each document's root by its position in the manifest's list; null where the list has none."""
-    roots = spark.createDataFrame([(i, r, f"/roots/{r}") for i, r in enumerate(ROOTS)], "root_id int, root string, root_path string")
-    return corpus(spark, sf_dir).join(F.broadcast(roots), "root", "left").select("doc_id", "root", "root_path")  # four rows
+    """Each document's root in the list of known roots; null where the list has none."""
+    docs = corpus(spark, sf_dir)
+    roots = docs.filter("root <> 'src19'").select("root").distinct().withColumn("root_path", F.concat(F.lit("/roots/"), "root"))
+    return docs.join(roots, "root", "left").select("doc_id", "root", "root_path")
 
 
-SEGMENTS = "('a', 2, 0, '/x'), ('b', 1, 0, '/x'), ('c', 2, 3, '/y'), ('d', 2, 1, 'relative')"
+SEGMENTS = "SELECT c_custkey AS stem, c_custkey % 4 AS version, c_nationkey % 3 AS root_id, CASE WHEN c_custkey % 5 > 0 THEN '/' || c_mktsegment ELSE c_mktsegment END AS root FROM customer"
 
 
 @query(f"""SELECT stem, version >= 2 AS may_prune, root_id < 2 AS bound, left(root, 1) = '/' AS absolute,
-  version >= 2 AND root_id < 2 AND left(root, 1) = '/' AS usable FROM (VALUES {SEGMENTS}) t(stem, version, root_id, root)""")
+  version >= 2 AND root_id < 2 AND left(root, 1) = '/' AS usable FROM ({SEGMENTS})""")
 def usable_segments(spark, sf_dir):
-    """Segments may prune from version 2, with roots that the list has, given from the top."""
-    rows = values(spark, SEGMENTS, "stem, version, root_id, root")
+    """Segments may prune from version 2, with roots that the list has, given from the top. Every
+    customer is a segment."""
+    root = F.when(F.expr("c_custkey % 5 > 0"), F.concat(F.lit("/"), "c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("root")
+    rows = table(spark, sf_dir, "customer").select(F.expr("c_custkey AS stem"), F.expr("c_custkey % 4 AS version"), F.expr("c_nationkey % 3 AS root_id"), root)
     rows = rows.select("stem", (F.col("version") >= 2).alias("may_prune"), (F.col("root_id") < 2).alias("bound"), F.col("root").startswith("/").alias("absolute"))
     return rows.withColumn("usable", F.col("may_prune") & F.col("bound") & F.col("absolute"))
 

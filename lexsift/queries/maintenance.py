@@ -27,35 +27,48 @@ def wal_replay(spark, sf_dir):
     return maintenance.committed(values(spark, LOG, "ord, txn, op, key"))
 
 
-@query("""SELECT ord, txn, key FROM (
+EVENTS_SQL = """
+SELECT ord, txn, key FROM (
   SELECT event_id AS ord, user_id AS txn, event_id::VARCHAR AS key, event_type,
     sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS inc FROM events) l
 JOIN (SELECT user_id, inc, min(event_id) FILTER (event_type = 'click') AS b, min(event_id) FILTER (event_type IN ('purchase', 'error')) AS e,
     min(event_id) FILTER (event_type = 'purchase') AS c FROM (
     SELECT user_id, event_id, event_type, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS inc FROM events)
   WHERE inc > 0 GROUP BY user_id, inc) r ON r.user_id = l.txn AND r.inc = l.inc
-WHERE event_type NOT IN ('click', 'purchase', 'error') AND e = c AND ord > b AND ord < e""")
-def wal_replay_events(spark, sf_dir):
-    """The same interval join over the table of events: what lies between a click and its purchase."""
+WHERE event_type NOT IN ('click', 'purchase', 'error') AND e = c AND ord > b AND ord < e"""
+
+
+def _event_log(spark, sf_dir):
     op = F.when(F.col("event_type") == "click", "BEGIN").when(F.col("event_type") == "purchase", "COMMIT").when(F.col("event_type") == "error", "ABORT").otherwise("INSERT")
-    log = table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("ord"), F.col("user_id").alias("txn"), op.alias("op"), F.col("event_id").cast("string").alias("key")
     )
-    return maintenance.committed(log)
 
 
-FILES = "('committed.tri'), ('committed.wrd'), ('first.tri'), ('lost.tri'), ('lost.old'), ('kept.tri'), ('manifest.json'), ('not-committed.wrd')"
+@query(EVENTS_SQL)
+def wal_replay_events(spark, sf_dir):
+    """The same interval join over the table of events: what lies between a click and its purchase."""
+    return maintenance.committed(_event_log(spark, sf_dir))
 
 
-@query(f"""WITH {REPLAY_SQL} SELECT name FROM (VALUES {FILES}) t(name) WHERE regexp_matches(name, '\\.(tri|old|wrd)$')
-AND regexp_extract(name, '^(.*)\\.[a-z]+$', 1) NOT IN (SELECT key FROM replayed UNION ALL SELECT 'kept')""")
+@query(f"""SELECT event_id || CASE event_id % 4 WHEN 0 THEN '.tri' WHEN 1 THEN '.wrd' WHEN 2 THEN '.old' ELSE '.json' END AS name FROM events
+WHERE event_id % 4 < 3 AND event_id % 10 > 0 AND event_id::VARCHAR NOT IN (SELECT key FROM ({EVENTS_SQL}))""")
 def wal_orphans(spark, sf_dir):
-    return orphan_files(values(spark, FILES, "name"), values(spark, LOG, "ord, txn, op, key"), values(spark, "('kept')", "stem"))
+    """A file for each event: neither the log's committed inserts nor the list of what is kept refer to it."""
+    events = table(spark, sf_dir, "events")
+    stem = F.col("event_id").cast("string")
+    ending = F.element_at(F.array(*map(F.lit, (".tri", ".wrd", ".old", ".json"))), F.expr("int(event_id % 4) + 1"))
+    kept = events.filter("event_id % 10 = 0").select(stem.alias("stem"))
+    return orphan_files(events.select(F.concat(stem, ending).alias("name")), _event_log(spark, sf_dir), kept)
 
 
-@query("SELECT name FROM (VALUES ('lost.tri'), ('lost.old'), ('committed.tri'), ('committed.wrd'), ('first.tri'), ('not-committed.wrd')) t(name)")
+@query("""SELECT doc_id || CASE WHEN doc_id % 3 = 0 THEN '.tri' ELSE '.wrd' END AS name FROM documents WHERE doc_id % 3 < 2 AND doc_id NOT IN (SELECT doc_id FROM labels)""")
 def unreferenced_files(spark, sf_dir):
-    return maintenance.orphans(values(spark, FILES, "name"), values(spark, "('kept')", "stem"))
+    """A file for each document, of which those with a label are referred to."""
+    stem = F.col("doc_id").cast("string")
+    ending = F.element_at(F.array(*map(F.lit, (".tri", ".wrd", ".json"))), F.expr("int(doc_id % 3) + 1"))
+    files = table(spark, sf_dir, "documents").select(F.concat(stem, ending).alias("name"))
+    return maintenance.orphans(files, table(spark, sf_dir, "labels").select(stem.alias("stem")).distinct())
 
 
 REMAP_SQL = f"""{CORPUS_SQL}, ids AS (
@@ -85,24 +98,25 @@ def compact_postings(spark, sf_dir):
     )
 
 
-SEGMENT_DOCS = "(11, 2, 'one.txt'), (11, 9, 'two.txt'), (18, 7, 'three.txt')"
-SEGMENT_GRAMS = "(11, 2, 'ROOT'), (11, 9, 'ROOT'), (18, 7, 'ROOT'), (11, 2, '10'), (18, 7, '10'), (11, 9, '20')"
-
-
-@query("SELECT * FROM (VALUES ('ROOT', 0), ('ROOT', 1), ('ROOT', 2), ('10', 0), ('10', 2), ('20', 1)) t(gram, local_id)")
+@query("SELECT o_orderpriority AS gram, (row_number() OVER (ORDER BY o_custkey % 10, o_orderkey) - 1)::BIGINT AS local_id FROM orders")
 def compact_small(spark, sf_dir):
-    docs = values(spark, SEGMENT_DOCS, "segment_id, local_id, path")
-    out = maintenance.merged(values(spark, SEGMENT_GRAMS, "segment_id, local_id, gram"), maintenance.remap(docs), "gram")
-    return out.select("gram", F.col("local_id").cast("int").alias("local_id"))
-
+    """Orders as documents of ten segments, their priority as the only gram of each."""
+    docs = table(spark, sf_dir, "orders").selectExpr("o_custkey % 10 AS segment_id", "o_orderkey AS local_id", "o_orderpriority AS gram")
+    return maintenance.merged(docs, maintenance.remap(docs.drop("gram")), "gram")
 
-STATE = """('a.tri', 3, 4096, 1, 10), ('a.wrd', 5, 4096, 1, 11), ('a.old', 7, 4096, 1, 12), ('old.tri', 11, 4096, 1, 13), ('wal', 13, 4096, 1, 14),
-('files.list', 17, 4096, 1, 15), ('x.tmp', 19, 4096, 1, 16), ('link.tri', 3, 4096, 1, 10)"""
 
-
-@query("SELECT 3::BIGINT AS trigram, 5::BIGINT AS word, 7::BIGINT AS legacy, 14::BIGINT AS other, 49::BIGINT AS auxiliary, 78::BIGINT AS logical, 28672::BIGINT AS allocated")
+@query("""WITH f AS (SELECT doc_id, n_chars AS bytes, (n_chars // 4096 + 1) * 4096 AS allocated, ['tri', 'wrd', 'old', 'tmp', ''][doc_id % 5 + 1] AS part, doc_id % 3 > 0 AS active FROM documents),
+s AS (SELECT coalesce(sum(bytes) FILTER (active AND part = 'tri'), 0)::BIGINT AS trigram, coalesce(sum(bytes) FILTER (active AND part = 'wrd'), 0)::BIGINT AS word, coalesce(sum(bytes) FILTER (active AND part = 'old'), 0)::BIGINT AS legacy,
+  coalesce(sum(bytes) FILTER (NOT active AND part IN ('tri', 'wrd', 'old')), 0)::BIGINT AS other, coalesce(sum(bytes) FILTER (part IN ('tmp', '')), 0)::BIGINT AS auxiliary, sum(bytes)::BIGINT AS logical FROM f)
+SELECT s.*, a.allocated FROM s, (SELECT sum(m)::BIGINT AS allocated FROM (SELECT max(allocated) AS m FROM f GROUP BY doc_id // 2)) a""")
 def disk_usage_hardlinks(spark, sf_dir):
-    return maintenance.disk_usage(values(spark, STATE, "name, bytes, allocated, dev, inode"), values(spark, "('a')", "stem"))
+    """A file for each document, two links for each place on the disk."""
+    ending = F.element_at(F.array(*map(F.lit, (".tri", ".wrd", ".old", ".tmp", ""))), F.expr("int(doc_id % 5) + 1"))
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(
+        F.concat(F.col("doc_id").cast("string"), ending).alias("name"), F.col("n_chars").alias("bytes"), F.expr("(n_chars div 4096 + 1) * 4096 AS allocated"), F.lit(1).alias("dev"), F.expr("doc_id div 2 AS inode")
+    )
+    return maintenance.disk_usage(files, docs.filter("doc_id % 3 > 0").select(F.col("doc_id").cast("string").alias("stem")))
 
 
 @query("""SELECT lang || '/' || doc_id AS path, CASE WHEN source = 'src19' THEN 'added' WHEN source = 'src18' THEN 'changed' ELSE 'same' END AS state

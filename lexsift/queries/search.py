@@ -12,7 +12,7 @@ from ..sources.config import flag_rows, pattern_rows
 from ..sources.files import is_hidden
 from ..sources.rules import ignored, included, parse_ignore
 from ..sources.tables import corpus, table
-from .registry import LINES_SQL, query, values
+from .registry import LINES_SQL, query
 
 
 def _run(spark: SparkSession, sf_dir: str, *patterns: str, **options) -> DataFrame:
@@ -119,35 +119,26 @@ def lines_numbered(spark, sf_dir):
 
 
 @query(f"""WITH {LINES_SQL} SELECT lang || '/' || doc_id || '.txt:' || line_no || ':' || line AS output
-FROM lines JOIN documents USING (doc_id) WHERE contains(line, 'password')""")
+FROM lines JOIN documents USING (doc_id) WHERE contains(line, 'License')""")
 def output_standard(spark, sf_dir):
-    found = search(corpus(spark, sf_dir), Query(("password",), fixed=True), ("path",))
+    found = search(corpus(spark, sf_dir), Query(("License",), fixed=True), ("path",))
     return standard_output(found, F.col("path"), numbered=True)
 
 
-FOLDING = "('branches', 'bar'), ('branches', 'x'), ('folded', '\u212ailogram'), ('folded', 'longſword'), ('folded', '\u212ailo'), ('case', 'foo'), ('literal', 'kilo.gram')"
-
-
-@query(f"""SELECT p, path, line FROM (VALUES {FOLDING}) t(path, line), (VALUES ('kilogram'), ('longsword'), ('kilo')) q(p)
-WHERE (p = 'kilogram' AND line = '\u212ailogram') OR (p = 'longsword' AND line = 'longſword')
-   OR (p = 'kilo' AND line IN ('\u212ailogram', '\u212ailo', 'kilo.gram'))""")
+@query("SELECT p, doc_id FROM documents, (VALUES ('es'), ('ke'), ('sk')) q(p) WHERE regexp_matches(text, p, 'i')")
 def folding_unicode(spark, sf_dir):
-    """Case folding knows the Kelvin sign and the long s."""
-    rows = values(spark, FOLDING, "path, line")
-    each = [
-        rows.filter(matches(F.col("line"), Query((p,), case=Case.INSENSITIVE))).select(F.lit(p).alias("p"), "path", "line")
-        for p in ("kilogram", "longsword", "kilo")
-    ]
+    """Case folding knows the Kelvin sign and the long s, which stand for every k and s here."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "ks", "\u212a\u017f").alias("text"))
+    each = [rows.filter(matches(F.col("text"), Query((p,), case=Case.INSENSITIVE))).select(F.lit(p).alias("p"), "doc_id") for p in ("es", "ke", "sk")]
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
-@query("SELECT * FROM (VALUES ('ordinary.txt')) t(path)")
+@query("SELECT doc_id FROM documents WHERE doc_id % 5 > 1 AND contains(text, 'the')")
 def binary_left_out(spark, sf_dir):
     """Documents with a NUL aren't listed, wherever it stands."""
-    rows = spark.createDataFrame(
-        [("before.bin", "needle\n\0trailer\n"), ("after.bin", "\0needle\n"), ("ordinary.txt", "needle\n")], "path string, text string"
-    )
-    return search(rows, Query(("needle",), fixed=True, mode=Mode.FILES), ("path",))
+    nul = F.lit("\0")
+    text = F.when(F.expr("doc_id % 5 = 0"), F.concat("text", nul)).when(F.expr("doc_id % 5 = 1"), F.concat(nul, "text")).otherwise(F.col("text"))
+    return search(table(spark, sf_dir, "documents").withColumn("text", text), Query(("the",), fixed=True, mode=Mode.FILES))
 
 
 @query("""SELECT * FROM (VALUES ('-c -l', 'files', 'sensitive', 0), ('-l -c', 'count', 'sensitive', 0), ('-i -S', 'lines', 'smart', 1),
@@ -180,22 +171,24 @@ def ignore_rules(spark, sf_dir):
     return corpus(spark, sf_dir).filter(~ignored(F.col("path"), rules)).select("path")
 
 
-@query("SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '(^|/)\\.[^/]')")
+@query("SELECT page_id FROM pages WHERE page_id % 4 > 1 AND NOT regexp_matches(url, '(^|/)\\.[^/]')")
 def hidden_filter(spark, sf_dir):
-    return table(spark, sf_dir, "pages").filter(~is_hidden(F.col("url"))).select("page_id", "url")
+    """Pages, of which half are put under or named by a hidden name."""
+    path = F.when(F.expr("page_id % 4 = 0"), F.concat(F.lit(".cache/"), "url")).when(F.expr("page_id % 4 = 1"), F.concat("url", F.lit("/.name"))).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").filter(~is_hidden(path)).select("page_id")
 
 
-CONFIG = "('a', 1, '# comment'), ('a', 2, '--smart-case'), ('a', 3, '--max-columns=80'), ('a', 4, '  --max-columns=120 '), ('a', 5, ''), ('b', 1, '--glob=!*.log')"
+CONFIG = "CASE WHEN turn % 5 = 4 THEN '# note' WHEN turn % 7 = 6 THEN '' ELSE '  --' || role || '=' || turn || ' ' END"
 
 
-@query("SELECT * FROM (VALUES ('a', '--smart-case', NULL), ('a', '--max-columns', '120'), ('b', '--glob', '!*.log')) t(file, flag, value)")
+@query("SELECT conv_id AS file, '--' || role AS flag, max(turn)::VARCHAR AS value FROM conversations WHERE turn % 5 <> 4 AND turn % 7 <> 6 GROUP BY conv_id, role")
 def config_last_wins(spark, sf_dir):
-    return flag_rows(values(spark, CONFIG, "file, line_no, line"))
-
-
-PATTERNS = "(1, 'struct'), (2, '  # note'), (3, '  main  '), (4, ''), (5, 'fn main')"
+    """Every conversation as a file of settings, a turn for each line."""
+    return flag_rows(table(spark, sf_dir, "conversations").selectExpr("conv_id AS file", "turn AS line_no", f"{CONFIG} AS line"))
 
 
-@query("SELECT * FROM (VALUES (1, 'struct'), (3, 'main'), (5, 'fn main')) t(line_no, pattern)")
+@query("SELECT page_id AS line_no, url AS pattern FROM pages WHERE page_id % 4 % 2 = 1")
 def pattern_file(spark, sf_dir):
-    return pattern_rows(values(spark, PATTERNS, "line_no, line"))
+    """Every page's address as a line: a comment, a padded one, none, or as it is."""
+    line = "CASE page_id % 4 WHEN 0 THEN '# ' || url WHEN 1 THEN '  ' || url || ' ' WHEN 2 THEN '' ELSE url END AS line"
+    return pattern_rows(table(spark, sf_dir, "pages").selectExpr("page_id AS line_no", line))

@@ -1,4 +1,4 @@
-"""Statistics of trials, over the table of events and small fixtures."""
+"""Statistics of trials, over the table of events."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import stats
 from ..sources.tables import table
 from ..sources.trials import markdown_rows
-from .registry import query, values
+from .registry import query
 
 
 def _trials(spark, sf_dir):
@@ -29,15 +29,16 @@ def graph_p95(spark, sf_dir):
     return stats.graph_p95(_trials(spark, sf_dir), ("category",))
 
 
-TRIALS = """('rare', 'a', 'ours', 20), ('rare', 'a', 'ours', 40), ('rare', 'a', 'scan', 400), ('rare', 'b', 'ours', 50), ('rare', 'b', 'scan', 450),
-('broad', 'c', 'ours', 100), ('broad', 'c', 'scan', 90), ('word', 'd', 'ours', 10), ('word', 'd', 'scan', 500)"""
-
-
-@query("""SELECT * FROM (VALUES ('rare', 11.166667, 0.093056, 2::BIGINT, true), ('broad', 0.9, 1.111111, 1::BIGINT, false), ('word', 50.0, 0.02, 1::BIGINT, false))
-t(category, speedup, ratio, patterns, passed)""".replace("11.166667", "11.166667::DOUBLE").replace("0.093056", "0.093056::DOUBLE").replace("0.9,", "0.9::DOUBLE,").replace("1.111111", "1.111111::DOUBLE").replace("50.0", "50.0::DOUBLE").replace("0.02", "0.02::DOUBLE"))
+@query("""WITH t AS (SELECT event_type AS category, user_id % 20 AS pattern, list_sort(list(floor(value * 1000)::BIGINT + 1) FILTER (event_id % 2 = 0)) AS a, list_sort(list(floor(value * 1000)::BIGINT + 1) FILTER (event_id % 2 = 1)) AS b FROM events GROUP BY 1, 2),
+m AS (SELECT category, a[(len(a) + 1) // 2] + (a[len(a) // 2 + 1] - a[(len(a) + 1) // 2]) // 2 AS ours, b[(len(b) + 1) // 2] + (b[len(b) // 2 + 1] - b[(len(b) + 1) // 2]) // 2 AS scan FROM t WHERE len(a) > 0 AND len(b) > 0),
+r AS (SELECT category, round(avg(scan / ours), 6) AS speedup, round(avg(ours / scan), 6) AS ratio, count(*) AS patterns FROM m WHERE ours > 0 AND scan > 0 GROUP BY category)
+SELECT *, ratio <= CASE category WHEN 'click' THEN 0.9 WHEN 'purchase' THEN 1.1 WHEN 'view' THEN 2.0 END AS passed FROM r""")
 def category_speedup(spark, sf_dir):
-    rows = values(spark, TRIALS, "category, pattern, tool, time_ms")
-    return stats.speedups(rows, "ours", "scan", {"rare": 0.1, "broad": 1.1, "word": 0.01})
+    """Events as trials of two tools: even ones are ours."""
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "event_type AS category", "user_id % 20 AS pattern", "if(event_id % 2 = 0, 'ours', 'scan') AS tool", "bigint(floor(value * 1000)) + 1 AS time_ms"
+    )
+    return stats.speedups(rows, "ours", "scan", {"click": 0.9, "purchase": 1.1, "view": 2.0})
 
 
 @query("""SELECT event_type AS category, round(avg(value) FILTER (event_id % 2 = 0), 6) AS cold, round(avg(value) FILTER (event_id % 2 = 1), 6) AS warm FROM events GROUP BY event_type""")
@@ -65,12 +66,15 @@ def ema_fold(spark, sf_dir):
     return averages.select("user_id", "samples", F.round("average", 6).alias("average"))
 
 
-SAMPLES = "(1, 1, 7, 3.0D, 0.95D), (1, 2, 7, 3.0D, 0.95D), (1, 3, 7, 3.0D, 0.95D), (1, 4, 7, 3.0D, 0.95D), (1, 5, 7, 3.0D, 0.95D), (1, 6, 7, 3.0D, 0.95D), (2, 1, 4, 2.0D, 0.5D), (3, 1, 1, 1.0D, 0.5D), (3, 2, 2, 4.0D, 0.9D), (3, 3, 3, 1.0D, 0.5D), (3, 4, 3, 1.0D, 0.5D), (3, 5, 3, 1.0D, 0.5D)"
-
-
-@query("SELECT * FROM (VALUES (1, 6::BIGINT, 7), (2, 1::BIGINT, NULL), (3, 5::BIGINT, 2)) t(signature, samples, config)")
+@query("""WITH l AS (SELECT user_id AS signature, list({'s': value, 'c': event_id % 10 / 10, 'best': (event_id % 7)::INTEGER} ORDER BY event_id) AS v FROM events GROUP BY user_id),
+f AS (SELECT signature, len(v)::BIGINT AS samples, list_reduce(v, lambda a, x: {'s': a.s * 0.9::DOUBLE + x.s * 0.1::DOUBLE, 'c': a.c * 0.9::DOUBLE + x.c * 0.1::DOUBLE,
+  'best': CASE WHEN x.s * x.c > (a.s * 0.9::DOUBLE + x.s * 0.1::DOUBLE) * (a.c * 0.9::DOUBLE + x.c * 0.1::DOUBLE) THEN x.best ELSE a.best END}) AS r FROM l)
+SELECT signature, samples, CASE WHEN samples >= 5 THEN r.best END AS config FROM f""")
 def tuning_fold(spark, sf_dir):
-    rows = spark.sql(f"SELECT * FROM (VALUES {SAMPLES}) AS t(signature, seq, config, speedup, confidence)")
+    """Every user's events as samples of seven settings; the SQL folds them one by one."""
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "user_id AS signature", "event_id AS seq", "int(event_id % 7) AS config", "value AS speedup", "event_id % 10 / 10 AS confidence"
+    )
     return stats.tune(rows, ("signature",)).select("signature", "samples", "config")
 
 

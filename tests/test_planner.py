@@ -14,12 +14,12 @@ def test_plans(pattern, fixed, folded, word, kind, grams):
 
 
 def test_several_patterns_scan():
-    assert plan(Query(("hello", "world"), fixed=True)).kind == "scan"
+    assert plan(Query(("plum", "pear"), fixed=True)).kind == "scan"
 
 
 def test_literal_grams():
-    assert literal_grams("hello") == ["68656C", "656C6C", "6C6C6F"]
-    assert len(literal_grams("abcabc")) == 3 and literal_grams("ab") == [] and literal_grams("é") == []
+    assert literal_grams("melon") == ["6D656C", "656C6F", "6C6F6E"]
+    assert len(literal_grams("figfig")) == 3 and literal_grams("ab") == [] and literal_grams("é") == []
 
 
 def test_cost_model():
