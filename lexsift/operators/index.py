@@ -35,12 +35,12 @@ def assign_ids(docs: DataFrame, segment: str = "segment_id") -> DataFrame:
     return docs.withColumn("local_id", (F.row_number().over(order) - 1).cast("long"))
 
 
-def postings(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    return gram_rows(docs, text, keep)
+def postings(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", once: bool | None = None) -> DataFrame:
+    return gram_rows(docs, text, keep, once)
 
 
-def word_entries(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    return token_rows(docs, text, keep)
+def word_entries(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", once: bool | None = None) -> DataFrame:
+    return token_rows(docs, text, keep, once)
 
 
 def dictionary(entries: DataFrame, key: str = "gram", by: tuple[str, ...] = ()) -> DataFrame:

@@ -131,8 +131,8 @@ class Index:
         by = ("segment_id", *KEY)
         tables = {
             "documents": (kept.select(*by).distinct(), "fingerprint"),
-            "postings": (postings(kept, by), "gram"),
-            "words": (word_entries(kept, by), "token"),
+            "postings": (postings(kept, by, once=False), "gram"),
+            "words": (word_entries(kept, by, once=False), "token"),
         }
         for name, (df, key) in tables.items():
             self._save(self._dealt(df, key), f"{at}/{name}", segment_id)
