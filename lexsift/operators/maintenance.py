@@ -45,7 +45,8 @@ def remap(documents: DataFrame) -> DataFrame:
 
 
 def merged(entries: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
-    """Postings or words (segment_id, local_id, key) under the new ids."""
+    """Postings or words (segment_id, local_id, key) under the new ids. The key may be the array of a
+    document's keys: then a row for each document is joined, not one for each posting."""
     return entries.join(mapping, ["segment_id", "local_id"]).select(key, F.col("new_id").alias("local_id"))
 
 

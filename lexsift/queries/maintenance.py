@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.grams import gram_name
+from ..functions.text import gram_lists
 from ..operators import maintenance
-from ..operators.index import postings
 from ..sources.tables import corpus, number_roots, table
 from ..store import orphan_files
 from .index import CORPUS_SQL
@@ -91,11 +92,12 @@ def compact_remap(spark, sf_dir):
 def compact_postings(spark, sf_dir):
     """Every list of the merged segment, by what identifies it."""
     docs = _segmented(spark, sf_dir)
-    entries = postings(docs, ("segment_id", "local_id"))
-    one = maintenance.merged(entries, maintenance.remap(docs), "gram")
-    return one.groupBy("gram").agg(
+    lists = gram_lists(docs, keep=("segment_id", "local_id"), once=True)
+    one = maintenance.merged(lists, maintenance.remap(docs), "codes").select("local_id", F.explode("codes").alias("code"))
+    one = one.groupBy("code").agg(
         F.count("*").alias("doc_freq"), F.min("local_id").alias("first_id"), F.max("local_id").alias("last_id"), F.sum("local_id").alias("sum_ids")
     )
+    return one.select(gram_name(F.col("code")).alias("gram"), *one.columns[1:])
 
 
 @query("SELECT o_orderpriority AS gram, (row_number() OVER (ORDER BY o_custkey % 10, o_orderkey) - 1)::BIGINT AS local_id FROM orders")
