@@ -62,13 +62,23 @@ def posting_blocks(entries: DataFrame, key: str = "gram", doc: str = "doc_id", b
 
 
 def word_blocks(entries: DataFrame, shard: Column, block: int = WORD_BLOCK) -> DataFrame:
-    """(shard, block_no, first_token, last_token, n): entries in order of token and document, in blocks."""
-    sharded = entries.withColumn("shard", shard)
-    order = Window.partitionBy("shard").orderBy("token", "doc_id")
-    numbered = sharded.withColumn("block_no", F.floor((F.row_number().over(order) - 1) / block).cast("long"))
-    return numbered.groupBy("shard", "block_no").agg(
-        F.min("token").alias("first_token"), F.max("token").alias("last_token"), F.count("*").alias("n")
-    )
+    """(shard, block_no, first_token, last_token, n): entries in order of token and document, in blocks.
+
+    What a block holds follows from how many entries each token has, so entries are counted and not put
+    in order. Tokens are, within a shard and their first three characters, which are in order before.
+    """
+    counts = entries.groupBy(shard.alias("shard"), "token").agg(F.count("*").alias("c"))
+    counts = counts.withColumn("head", F.substring("token", 1, 3))
+    above = [Window.unboundedPreceding, -1]
+    heads = counts.groupBy("shard", "head").agg(F.sum("c").alias("c"))  # a row for each three characters
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("shard").orderBy("head").rowsBetween(*above)), F.lit(0))
+    heads = heads.select(F.col("shard").alias("s"), F.col("head").alias("h"), before.alias("before"))
+    within = F.coalesce(F.sum("c").over(Window.partitionBy("shard", "head").orderBy("token").rowsBetween(*above)), F.lit(0))
+    placed = counts.withColumn("within", within).join(heads, F.col("shard").eqNullSafe(F.col("s")) & F.col("head").eqNullSafe(F.col("h")))
+    spans = placed.select("shard", "token", (F.col("before") + F.col("within")).alias("low"), (F.col("before") + F.col("within") + F.col("c")).alias("high"))
+    each = spans.select("*", F.explode(F.expr(f"sequence(low div {block}, (high - 1) div {block})")).alias("block_no"))
+    n = F.least("high", (F.col("block_no") + 1) * block) - F.greatest("low", F.col("block_no") * block)
+    return each.groupBy("shard", "block_no").agg(F.min("token").alias("first_token"), F.max("token").alias("last_token"), F.sum(n).alias("n"))
 
 
 # Bytes of headers and fixed-width entries of the two file formats.

@@ -21,6 +21,7 @@ def plan(df) -> str:
     "name",
     [
         "compact_postings",
+        "word_block_layout",
     ],
 )
 def test_no_pairs_by_document(spark, small, name):
@@ -31,3 +32,18 @@ def test_merged_arrays(spark):
     lists = spark.createDataFrame([(0, 0, [7, 8]), (1, 0, [8])], "segment_id int, local_id long, codes array<int>")
     got = maintenance.merged(lists, maintenance.remap(lists.drop("codes")), "codes").collect()
     assert sorted((r["local_id"], r["codes"]) for r in got) == [(0, [7, 8]), (1, [8])]
+
+
+def test_word_blocks_follow_from_counts(spark):
+    from pyspark.sql import functions as F
+
+    tokens = ["ab", "abc", "abcd", "abce", "Ab", "b1", "a_", "zz"]
+    entries = [(d, t) for d in range(40) for i, t in enumerate(tokens) if d % (i + 1) == 0]
+    got = word_blocks(spark.createDataFrame(entries, "doc_id long, token string"), F.lower(F.substring("token", 1, 1)), block=7)
+    assert "row_number" not in plan(got)
+    want = {}
+    for shard in {t[0].lower() for t in tokens}:
+        rows = [t for t, _ in sorted((t, d) for d, t in entries if t[0].lower() == shard)]
+        for i in range(0, len(rows), 7):
+            want[shard, i // 7] = (rows[i], rows[i : i + 7][-1], len(rows[i : i + 7]))
+    assert {(r["shard"], r["block_no"]): (r["first_token"], r["last_token"], r["n"]) for r in got.collect()} == want
