@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grams import code_times
+
 
 def committed(log: DataFrame) -> DataFrame:
     """Inserts of ``log`` (ord, txn, op, key) that count: op is BEGIN, INSERT, COMMIT or ABORT.
@@ -54,6 +56,19 @@ def increasing(entries: DataFrame, key: str = "gram", doc: str = "doc_id", by: t
     """(by..., lists, entries, all_increasing): whether ids in every list only rise, once in order; so
     whether none stands there twice, which counts tell without putting a list in order."""
     pairs = entries.groupBy(*by, key, doc).agg(F.count("*").alias("times"))
+    return _lists_rise(pairs, key, by)
+
+
+def increasing_lists(entries: DataFrame, keys: str = "codes", doc: str = "doc_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """The same of entries (by..., doc, keys) that hold a document's keys as an array of numbers: arrays
+    are brought together by document, and no pair is shuffled."""
+    arrays = entries.groupBy(*by, doc).agg(F.flatten(F.collect_list(keys)).alias("keys"))
+    pairs = arrays.select(*by, F.explode(code_times(F.col("keys"))).alias("p")).select(*by, F.col("p.code").alias("key"), F.col("p.times").alias("times"))
+    return _lists_rise(pairs, "key", by)
+
+
+def _lists_rise(pairs: DataFrame, key: str, by: tuple[str, ...]) -> DataFrame:
+    """From (by..., key, times), a row for each document."""
     lists = pairs.groupBy(*by, key).agg(F.sum("times").alias("n"), (F.max("times") == 1).alias("rises"))
     whole = (F.count("*").alias("lists"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("entries"), F.coalesce(F.bool_and("rises"), F.lit(True)).alias("all_increasing"))
     return lists.groupBy(*by).agg(*whole) if by else lists.agg(*whole)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.grams import gram_name
+from ..functions.text import gram_code_rows, gram_lists
 from ..operators.index import (
     assign_ids,
     assign_segments,
@@ -15,7 +17,7 @@ from ..operators.index import (
     word_entries,
     word_file_bytes,
 )
-from ..operators.maintenance import increasing
+from ..operators.maintenance import increasing_lists
 from ..sources.tables import corpus, number_roots, table
 from .registry import GRAMS_SQL, TOKENS_SQL, query, values
 
@@ -110,8 +112,8 @@ def word_size_model(spark, sf_dir):
 SELECT lang, count(DISTINCT gram) AS lists, count(*) AS entries, lang <> 'fr' AS all_increasing FROM e GROUP BY lang""")
 def validate_monotonic(spark, sf_dir):
     """Each language's lists; those of one language hold every id twice."""
-    entries = postings(table(spark, sf_dir, "documents"), ("doc_id", "lang"))
-    return increasing(entries.unionByName(entries.filter("lang = 'fr'")), by=("lang",))
+    lists = gram_lists(table(spark, sf_dir, "documents"), keep=("doc_id", "lang"))
+    return increasing_lists(lists.unionByName(lists.filter("lang = 'fr'")), by=("lang",))
 
 
 @query(f"WITH {GRAMS_SQL} SELECT gram, count(*) AS doc_freq FROM grams WHERE gram IN ('746865', '656175', 'FFFFFF') GROUP BY gram")

@@ -22,6 +22,7 @@ def plan(df) -> str:
     [
         "compact_postings",
         "word_block_layout",
+        "validate_monotonic",
     ],
 )
 def test_no_pairs_by_document(spark, small, name):
@@ -47,3 +48,10 @@ def test_word_blocks_follow_from_counts(spark):
         for i in range(0, len(rows), 7):
             want[shard, i // 7] = (rows[i], rows[i : i + 7][-1], len(rows[i : i + 7]))
     assert {(r["shard"], r["block_no"]): (r["first_token"], r["last_token"], r["n"]) for r in got.collect()} == want
+
+
+def test_lists_rise(spark):
+    rows = [("a", 1, [5, 6]), ("a", 2, [6]), ("b", 1, [5]), ("b", 1, [5, 7]), ("b", None, [9]), ("c", 3, [])]
+    lists = spark.createDataFrame(rows, "lang string, doc_id long, codes array<int>")
+    got = {r["lang"]: (r["lists"], r["entries"], r["all_increasing"]) for r in maintenance.increasing_lists(lists, by=("lang",)).collect()}
+    assert got == {"a": (2, 3, True), "b": (3, 4, False)}
