@@ -50,12 +50,11 @@ def dictionary(entries: DataFrame, key: str = "gram", by: tuple[str, ...] = ())
 
 def posting_blocks(entries: DataFrame, key: str = "gram", doc: str = "doc_id", block: int = POSTING_BLOCK) -> DataFrame:
     """(key, block_no, n, max_id, encoded_bytes): lists in blocks, the first id of a block as it is and
-    the others as differences, seven bits a byte."""
+    the others as differences, seven bits a byte. Lists are put in order once."""
     order = Window.partitionBy(key).orderBy(doc)
-    numbered = entries.withColumn("block_no", F.floor((F.row_number().over(order) - 1) / block).cast("long"))
-    within = Window.partitionBy(key, "block_no").orderBy(doc)
-    delta = F.col(doc) - F.coalesce(F.lag(doc).over(within), F.lit(0))
-    coded = numbered.withColumn("bytes", varint_length(delta))
+    placed = entries.select(key, doc, (F.row_number().over(order) - 1).alias("place"), F.lag(doc).over(order).alias("before"))
+    delta = F.col(doc) - F.when(F.col("place") % block == 0, F.lit(0)).otherwise(F.coalesce("before", F.lit(0)))
+    coded = placed.select(key, doc, F.floor(F.col("place") / block).cast("long").alias("block_no"), varint_length(delta).alias("bytes"))
     return coded.groupBy(key, "block_no").agg(
         F.count("*").alias("n"), F.max(doc).alias("max_id"), F.sum("bytes").cast("long").alias("encoded_bytes")
     )

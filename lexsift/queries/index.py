@@ -70,7 +70,8 @@ _BLOCKS = f"""{GRAMS_SQL}, numbered AS (
 
 @query(f"WITH {_BLOCKS} SELECT * FROM blocks")
 def posting_block_layout(spark, sf_dir):
-    return posting_blocks(postings(table(spark, sf_dir, "documents")))
+    blocks = posting_blocks(gram_code_rows(table(spark, sf_dir, "documents")), "code")
+    return blocks.select(gram_name(F.col("code")).alias("gram"), *blocks.columns[1:])
 
 
 @query(f"""WITH {_BLOCKS}, {CORPUS_SQL} SELECT docs, paths, n_grams, n_blocks, encoded, 90 + 64 * docs + 2 * paths + 16 * n_grams + 12 * n_blocks + encoded AS file_bytes

@@ -23,6 +23,7 @@ def plan(df) -> str:
         "compact_postings",
         "word_block_layout",
         "validate_monotonic",
+        "posting_block_layout",
     ],
 )
 def test_no_pairs_by_document(spark, small, name):
@@ -55,3 +56,11 @@ def test_lists_rise(spark):
     lists = spark.createDataFrame(rows, "lang string, doc_id long, codes array<int>")
     got = {r["lang"]: (r["lists"], r["entries"], r["all_increasing"]) for r in maintenance.increasing_lists(lists, by=("lang",)).collect()}
     assert got == {"a": (2, 3, True), "b": (3, 4, False)}
+
+
+def test_lists_are_put_in_order_once(spark):
+    rows = spark.createDataFrame([(c, i) for c in (1, 2) for i in range(200)], "code int, doc_id long")
+    blocks = posting_blocks(rows, "code")
+    assert plan(blocks).count("Window [") == 1
+    got = sorted((r["code"], r["block_no"], r["n"], r["max_id"], r["encoded_bytes"]) for r in blocks.collect())
+    assert got == [(c, *b) for c in (1, 2) for b in ((0, 128, 127, 128), (1, 72, 199, 2 + 71))]
