@@ -80,9 +80,9 @@ FROM (SELECT count(*) AS docs, sum(octet_length(encode(path)))::BIGINT AS paths
 def segment_size_model(spark, sf_dir):
     """How large one segment of all documents would be in the byte format."""
     docs = corpus(spark, sf_dir)
-    blocks = posting_blocks(postings(docs))
+    blocks = posting_blocks(gram_code_rows(docs), "code")
     a = docs.agg(F.count("*").alias("docs"), F.sum(F.octet_length(F.encode("path", "UTF-8"))).alias("paths"))
-    b = blocks.agg(F.count_distinct("gram").alias("n_grams"), F.count("*").alias("n_blocks"), F.sum("encoded_bytes").alias("encoded"))
+    b = blocks.agg(F.count_if(F.col("block_no") == 0).alias("n_grams"), F.count("*").alias("n_blocks"), F.sum("encoded_bytes").alias("encoded"))
     both = a.unionByName(b, allowMissingColumns=True)
     one = both.agg(*[F.max(c).alias(c) for c in both.columns])
     return one.withColumn("file_bytes", gram_file_bytes(*map(F.col, ("docs", "paths", "n_grams", "n_blocks", "encoded"))))

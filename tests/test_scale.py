@@ -24,6 +24,7 @@ def plan(df) -> str:
         "word_block_layout",
         "validate_monotonic",
         "posting_block_layout",
+        "segment_size_model",
     ],
 )
 def test_no_pairs_by_document(spark, small, name):
