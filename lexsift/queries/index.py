@@ -50,7 +50,7 @@ def index_status(spark, sf_dir):
     """Segments, and their total with a null segment."""
     docs = corpus(spark, sf_dir).withColumn("segment_id", F.expr("doc_id div 64"))
     sizes = docs.groupBy("segment_id").agg(F.count("*").alias("docs"), F.sum("byte_length").alias("source_bytes"))
-    grams = dictionary(postings(docs, ("segment_id", "doc_id")), "gram", ("segment_id",))
+    grams = dictionary(gram_code_rows(docs, keep=("segment_id", "doc_id")), "code", ("segment_id",))
     grams = grams.groupBy("segment_id").agg(F.count("*").alias("n_grams"), F.sum("doc_freq").alias("n_postings"))
     joined = sizes.join(grams, "segment_id", "left").fillna(0, ["n_grams", "n_postings"])
     columns = ("docs", "source_bytes", "n_grams", "n_postings")

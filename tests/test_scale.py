@@ -25,6 +25,7 @@ def plan(df) -> str:
         "validate_monotonic",
         "posting_block_layout",
         "segment_size_model",
+        "index_status",
     ],
 )
 def test_no_pairs_by_document(spark, small, name):
