@@ -165,7 +165,7 @@ def engine_counters(spark, sf_dir):
     docs = corpus(spark, sf_dir)
     parts = (
         docs.agg(F.count("*").alias("docs"), F.sum("byte_length").alias("source_bytes")),
-        postings(docs).agg(F.count_distinct("gram").alias("n_grams"), F.count("*").alias("n_postings")),
+        dictionary(gram_code_rows(docs), "code").agg(F.count("*").alias("n_grams"), F.coalesce(F.sum("doc_freq"), F.lit(0)).alias("n_postings")),
         word_entries(docs).agg(F.count_distinct("token").alias("n_tokens")),
     )
     whole = parts[0].unionByName(parts[1], True).unionByName(parts[2], True)

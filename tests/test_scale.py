@@ -26,6 +26,7 @@ def plan(df) -> str:
         "posting_block_layout",
         "segment_size_model",
         "index_status",
+        "engine_counters",
     ],
 )
 def test_no_pairs_by_document(spark, small, name):
