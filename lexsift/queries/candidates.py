@@ -6,11 +6,9 @@ those of ``src18`` were edited after it was built.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
-from ..functions.text import gram_rows, literal_grams, token_rows
+from ..functions.text import gram_code_rows, gram_rows, literal_grams, token_rows
 from ..operators import candidates
 from ..operators.index import dictionary, postings
 from ..operators.search import matches, search
@@ -77,21 +75,20 @@ PRUNED = ("there", "License", "eaux", "keit", "no such literal", "été", "passw
     "(SELECT count(*) FROM documents WHERE contains(text, pattern)) AS pruned, true AS equal FROM p"
 )
 def pruned_equals_scan(spark, sf_dir):
-    """For each literal: what a scan finds, and what is found among the index's candidates only."""
+    """For each literal: what a scan finds, and what is found among the index's candidates only.
+
+    All literals' grams are taken from the postings in one pass, and counted by document.
+    """
     docs = table(spark, sf_dir, "documents")
-    wanted = {g: None for p in PRUNED for g in literal_grams(p)}
-    grams = gram_rows(docs).filter(F.col("gram").isin(*wanted))
-    each = [
-        grams.filter(F.col("gram").isin(*literal_grams(p))).groupBy("doc_id").count().filter(F.col("count") == len(literal_grams(p)))
-        .select(F.lit(p).alias("pattern"), "doc_id")
-        for p in PRUNED
-    ]
-    named = reduce(lambda a, b: a.unionByName(b), each).withColumn("named", F.lit(True))
-    tests = F.array(*[F.struct(F.lit(p).alias("pattern"), matches(F.col("text"), Query((p,), fixed=True)).alias("hit")) for p in PRUNED])
-    scan = docs.select("doc_id", F.explode(tests).alias("t")).select("doc_id", "t.pattern", "t.hit")
-    both = scan.join(named, ["pattern", "doc_id"], "left")
-    pruned = F.count_if(F.col("hit") & F.col("named"))
-    return both.groupBy("pattern").agg(F.count_if("hit").alias("scanned"), pruned.alias("pruned")).withColumn("equal", F.expr("scanned = pruned"))
+    wanted = {p: [int(g, 16) for g in literal_grams(p)] for p in PRUNED}
+    grams = gram_code_rows(docs).filter(F.col("code").isin(*{c for codes in wanted.values() for c in codes}))
+    named = grams.groupBy("doc_id").agg(*[(F.count_if(F.col("code").isin(*codes)) == len(codes)).alias(f"named{i}") for i, codes in enumerate(wanted.values())])
+    scan = docs.select("doc_id", *[matches(F.col("text"), Query((p,), fixed=True)).alias(f"hit{i}") for i, p in enumerate(PRUNED)])
+    hits = [F.col(f"hit{i}") for i in range(len(PRUNED))]
+    counts = [c for i, hit in enumerate(hits) for c in (F.count_if(hit).alias(f"scanned{i}"), F.count_if(hit & F.col(f"named{i}")).alias(f"pruned{i}"))]
+    one = scan.join(named, "doc_id", "left").agg(*counts)
+    rows = [F.struct(F.lit(p).alias("pattern"), F.col(f"scanned{i}").alias("scanned"), F.col(f"pruned{i}").alias("pruned")) for i, p in enumerate(PRUNED)]
+    return one.select(F.inline(F.array(*rows))).withColumn("equal", F.expr("scanned = pruned"))
 
 
 _COST_SQL = f"""{GRAMS_SQL}, segs AS (

@@ -27,6 +27,7 @@ def plan(df) -> str:
         "segment_size_model",
         "index_status",
         "engine_counters",
+        "pruned_equals_scan",
     ],
 )
 def test_no_pairs_by_document(spark, small, name):
@@ -67,3 +68,12 @@ def test_lists_are_put_in_order_once(spark):
     assert plan(blocks).count("Window [") == 1
     got = sorted((r["code"], r["block_no"], r["n"], r["max_id"], r["encoded_bytes"]) for r in blocks.collect())
     assert got == [(c, *b) for c in (1, 2) for b in ((0, 128, 127, 128), (1, 72, 199, 2 + 71))]
+
+
+def test_pruning_of_no_documents(spark, tmp_path):
+    """Every literal has its row, also where there is nothing to find."""
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = QUERIES["pruned_equals_scan"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted(con.sql(ORACLE_SQL["pruned_equals_scan"]).fetchall())
